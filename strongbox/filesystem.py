@@ -1,4 +1,4 @@
-"""Opening, moving and deleting files from inside a task."""
+"""Opening, listing, moving and deleting files, on the driver or inside a task."""
 
 import re
 
@@ -14,7 +14,24 @@ def resolve(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", path))
 
 
+def children(folder: str) -> list[tuple[str, bool, int | None, int | None]]:
+    """What a folder holds, empty and hidden files too: path, whether it is a folder, length,
+    time of change in microseconds. A folder that is not there holds nothing."""
+    folder = folder.rstrip("/")
+    store, inner = resolve(folder)
+    prefix = folder.removesuffix(inner)
+    found = store.get_file_info(fs.FileSelector(inner, allow_not_found=True))
+    return [
+        (prefix + f.path, f.type == fs.FileType.Directory, f.size, f.mtime_ns // 1000 if f.mtime_ns else None) for f in found
+    ]
+
+
+def exists(path: str) -> bool:
+    store, inner = resolve(path)
+    return store.get_file_info(inner).type != fs.FileType.NotFound
+
+
 def delete_folder(path: str) -> None:
-    files, inner = resolve(path)
-    if files.get_file_info(inner).type == fs.FileType.Directory:
-        files.delete_dir(inner)
+    store, inner = resolve(path)
+    if store.get_file_info(inner).type == fs.FileType.Directory:
+        store.delete_dir(inner)

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strongbox.filesystem import resolve
-from strongbox.schemas import BACKUP_PARTITIONS, CL, SNAP, SST
+from strongbox.filesystem import exists
+from strongbox.schemas import BACKUP_PARTITIONS, SNAP, SST
 from strongbox.sources.files import read_backup
 
 ROWS_PER_FILE = 5_000_000
@@ -22,11 +22,6 @@ def _escaped(value: str) -> str:
     return "".join(f"%{ord(c):02X}" if c in "\"#%'*/:=?\\{[]^" or ord(c) < 32 else c for c in value)
 
 
-def _exists(path: str) -> bool:
-    store, inner = resolve(path)
-    return store.get_file_info(inner).type.name != "NotFound"
-
-
 def _write(rows: DataFrame, backup: str, **parts: str) -> None:
     tagged = rows.withColumns({n: F.lit(v) if isinstance(v, str) else v for n, v in parts.items()})
     tagged.write.mode("append").option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy(*BACKUP_PARTITIONS).parquet(backup)
@@ -37,7 +32,7 @@ def snapshot_backup(rows: DataFrame, backup: str, snapshot: str, keyspace: str,
 
     Tasks copy their own input: there is no shuffle. A name that exists already is an error.
     """
-    if _exists(_folder(backup, snapshot, SNAP, keyspace) + f"/table={_escaped(table)}"):
+    if exists(_folder(backup, snapshot, SNAP, keyspace) + f"/table={_escaped(table)}"):
         raise FileExistsError(f"snapshot {snapshot} of {keyspace}.{table} exists")
     _write(rows, backup, snapshot=snapshot, backup_type=SNAP, keyspace=keyspace, table=table)
     return backup_manifest(rows.sparkSession, backup, rows.schema, snapshot=snapshot, backup_type=SNAP, keyspace=keyspace, table=table)
@@ -64,7 +59,7 @@ def incremental_backup(
 
 def last_snapshot(spark: SparkSession, backup: str, keyspace: str, table: str) -> str | None:
     """The name of the newest snapshot of a table, from the folder names alone."""
-    if not _exists(backup):
+    if not exists(backup):
         return None
     names = read_backup(spark, backup, T.StructType([]), backup_type=SNAP, keyspace=keyspace, table=table)
     return names.agg(F.max("snapshot")).first()[0]
@@ -76,6 +71,3 @@ def backup_manifest(spark: SparkSession, backup: str, schema: T.StructType, **pa
     return rows.groupBy(*BACKUP_PARTITIONS, F.col("_metadata.file_path").alias("path")).agg(
         F.count(F.lit(1)).alias("n_rows"), F.max("_metadata.file_size").alias("length")
     )
-
-
-__all__ = ["CL", "backup_manifest", "incremental_backup", "last_snapshot", "snapshot_backup"]

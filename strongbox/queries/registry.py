@@ -66,11 +66,13 @@ def stream_view(spark: SparkSession, sf_dir: str, name: str, files_per_batch: in
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int | None = None) -> DataFrame:
-    schema = table(spark, sf_dir, name).schema
-    reader = spark.readStream.schema(schema)
+    """Files of a given table as a stream; a stream wants a pattern, even for one file."""
+    files = f"{sf_dir}/{name}*.parquet"
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    reader = spark.readStream.schema(spark.read.parquet(files).schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(f"{sf_dir}/{name}*.parquet")
+    return reader.parquet(files)
 
 
 def _select(spark: SparkSession, sql: str, source: Callable[[str], DataFrame]) -> DataFrame:

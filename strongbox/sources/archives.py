@@ -9,7 +9,6 @@ import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +17,7 @@ from strongbox.filesystem import resolve
 from strongbox.functions.keys import archive_id, hash_part
 from strongbox.operators.joins import join_on
 from strongbox.schemas import MB, MEMBERS
+from strongbox.sources.files import list_files
 
 PACK_BYTES = 256 * MB
 PACK_FILES = 100_000
@@ -147,9 +147,9 @@ def unpack_archives(spark: SparkSession, archives: str, dest: str | None = None)
     of their files. With ``dest`` the members are written to ``dest/<archive name>/<member>``; a
     member that would leave that folder is not ``accepted`` and not written.
     """
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.tar.gz").load(archives).select("path", "length")
-    # One task for about one pack, spread by size so that large archives do not share a task.
-    spread = listed.repartitionByRange(max(spark.sparkContext.defaultParallelism, 1), "length", "path")
+    listed = list_files(spark.createDataFrame([(archives,)], "path string"))
+    found = listed.where(F.col("path").endswith(".tar.gz")).select("path")
+    spread = found.repartition(max(spark.sparkContext.defaultParallelism, 1), "path")
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -200,21 +200,6 @@ def _frames(rows: Iterator[tuple]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(held, columns=MEMBERS.names)
 
 
-def with_content(objects: DataFrame) -> DataFrame:
-    """Adds the content of the files at ``path``, read in the tasks that hold the rows."""
-    schema = T.StructType(objects.schema.fields + [T.StructField("content", T.BinaryType())])
-
-    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for i in range(len(batch)):
-                one = batch.iloc[i : i + 1]
-                store, inner = resolve(one["path"].iloc[0])
-                with store.open_input_stream(inner, compression=None) as stream:
-                    yield one.assign(content=[stream.read()])
-
-    return objects.mapInPandas(load, schema)
-
-
 def overlay_members(members: DataFrame) -> DataFrame:
     """The member that remains when archives are unpacked over one another, later ones last."""
     columns = [c for c in members.columns if c not in ("host_id", "member")]
@@ -222,10 +207,3 @@ def overlay_members(members: DataFrame) -> DataFrame:
         F.max_by(F.struct(*columns), F.struct("modified", "archive")).alias("_m")
     )
     return last.select("host_id", "member", *[F.col(f"_m.{c}").alias(c) for c in columns])
-
-
-def list_archives(dest: str) -> list[str]:
-    """Names of the archives in one folder."""
-    store, folder = resolve(dest)
-    found = store.get_file_info(fs.FileSelector(folder))
-    return sorted(f.base_name for f in found if f.base_name.endswith(".tar.gz"))

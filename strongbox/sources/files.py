@@ -1,52 +1,74 @@
 """Listing data files and reading backed-up rows."""
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
+from urllib.parse import unquote
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strongbox.filesystem import children, resolve
 from strongbox.schemas import BACKUP_PARTITIONS, with_partitions
 
 
+LISTING = "path string, is_folder boolean, length bigint, modified bigint"
+
+
+def list_files(folders: DataFrame) -> DataFrame:
+    """All files below the folders in the column ``path``, with the other columns of their row.
+
+    Spark's own readers leave out empty and hidden files, a backup must not. Tasks list the
+    folders, and what lies below a folder is handed out again, so that one folder with many
+    others in it is not left to one task.
+    """
+    others = [c for c in folders.columns if c != "path"]
+    schema = T.StructType([folders.schema[c] for c in others] + T.StructType.fromDDL(LISTING).fields)
+    names = schema.names
+
+    def look(batches: Iterator[pd.DataFrame], deep: bool) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch[[*others, "path"]].itertuples(index=False, name=None):
+                pending = [row[-1]]
+                while pending:
+                    found = children(pending.pop())
+                    if deep:
+                        pending += [f[0] for f in found if f[1]]
+                        found = [f for f in found if not f[1]]
+                    yield pd.DataFrame([(*row[:-1], *f) for f in found], columns=names).astype({"length": "Int64", "modified": "Int64"})
+
+    def spread(df: DataFrame) -> DataFrame:
+        return df.select(*others, "path").repartition(max(df.sparkSession.sparkContext.defaultParallelism, 1), "path")
+
+    first = spread(folders).mapInPandas(lambda batches: look(batches, False), schema)
+    deeper = spread(first.where("is_folder")).mapInPandas(lambda batches: look(batches, True), schema)
+    files = first.where("not is_folder").unionByName(deeper)
+    return files.select(*others, "path", "length", F.timestamp_micros("modified").alias("modified"))
+
+
 def list_table_files(spark: SparkSession, roots: Sequence[str], keyspace: str | None = None) -> DataFrame:
     """Files below ``<root>/<keyspace>/<table>``: keyspace, table, path, length, modified.
 
-    Only listings are read, never file contents. Roots without the keyspace are left out.
+    The driver looks up keyspaces and tables, the tasks list the tables. A root that does not
+    exist, or does not have the keyspace, adds nothing.
     """
     if keyspace is not None and not keyspace.strip():
         raise ValueError("keyspace must not be blank")
-    below = "*" if keyspace is None else f"{{{keyspace},keyspace={keyspace}}}"
-    listings = [_listing(spark, f"{root.rstrip('/')}/{below}") for root in roots]
-    listings = [files for files in listings if files is not None]
-    if not listings:
-        empty = "keyspace string, table string, path string, length bigint, modified timestamp"
-        return spark.createDataFrame([], empty)
-    files = listings[0]
-    for more in listings[1:]:
-        files = files.unionByName(more)
-    return files
-
-
-def _listing(spark: SparkSession, pattern: str) -> DataFrame | None:
-    root = pattern.rsplit("/", 1)[0]
-    inner = F.regexp_replace("path", r"^file:/+", "/")
-    start = root if "://" in root else "/" + root.split(":", 1)[-1].lstrip("/")
-    parts = F.split(F.substr(inner, F.lit(len(start) + 2)), "/")
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    try:
-        files = reader.load(pattern)
-    except Exception as error:  # no such folder: the root takes no part
-        if "PATH_NOT_FOUND" in str(error):
-            return None
-        raise
-
-    def plain(i: int):
-        return F.regexp_replace(F.get(parts, F.lit(i)), r"^[a-z_]+=", "")
-
-    return files.select(
-        plain(0).alias("keyspace"), plain(1).alias("table"), "path", "length", F.col("modificationTime").alias("modified")
-    ).where(F.size(parts) >= 3)
+    tables = [
+        (_name(space), _name(table), table)
+        for root in roots
+        for space, is_folder, *_ in children(root)
+        if is_folder and keyspace in (None, _name(space))
+        for table, is_table, *_ in children(space)
+        if is_table
+    ]
+    return list_files(spark.createDataFrame(tables, "keyspace string, `table` string, path string"))
+
+
+def _name(folder: str) -> str:
+    """The name of a folder, which may be written as ``keyspace=name`` or ``table=name``."""
+    return unquote(re.sub(r"^(keyspace|table)=", "", folder.rsplit("/", 1)[-1]))
 
 
 def read_backup(spark: SparkSession, backup: str, schema: T.StructType, **parts: str | Sequence[str]) -> DataFrame:
@@ -63,8 +85,16 @@ def read_backup(spark: SparkSession, backup: str, schema: T.StructType, **parts:
     return rows
 
 
-def read_backup_objects(spark: SparkSession, objects: DataFrame) -> DataFrame:
-    """Adds the content of opaque objects (``path``); every task opens its own share of them."""
-    from strongbox.sources.archives import with_content
+def read_backup_objects(objects: DataFrame) -> DataFrame:
+    """Adds the ``content`` of opaque objects (``path``); every task opens its own share of them."""
+    schema = T.StructType(objects.schema.fields + [T.StructField("content", T.BinaryType())])
+
+    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in range(len(batch)):
+                one = batch.iloc[i : i + 1]
+                store, inner = resolve(one["path"].iloc[0])
+                with store.open_input_stream(inner, compression=None) as stream:
+                    yield one.assign(content=[stream.read()])
 
-    return with_content(objects)
+    return objects.mapInPandas(load, schema)
