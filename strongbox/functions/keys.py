@@ -32,27 +32,30 @@ def build_object_key(df: DataFrame, base: str) -> DataFrame:
 def parse_object_key(objects: DataFrame) -> DataFrame:
     """Splits ``object_key`` into its parts. ``valid`` is false unless there are 8 parts, or 6
     parts (no keyspace and table), and the last one is not empty."""
-    parts = F.split("object_key", "/")
-    n = F.size(parts)
+    split = objects.withColumn("_parts", F.split("object_key", "/"))
+    n = F.size("_parts")
     full = n == FULL_KEY_PARTS
-    valid = F.coalesce((full | (n == SHORT_KEY_PARTS)) & (F.element_at(parts, -1) != ""), F.lit(False))
+    last = F.element_at("_parts", -1)
+    valid = F.coalesce((full | (n == SHORT_KEY_PARTS)) & (last != ""), F.lit(False))
 
     def part(i: int) -> Column:
-        return F.when(valid, F.get(parts, F.lit(i)))
-
-    return objects.withColumns(
-        {
-            "cluster": part(1),
-            "host_id": part(2),
-            "snapshot": part(3),
-            "backup_type": part(4),
-            "keyspace": F.when(full, part(5)),
-            "table": F.when(full, part(6)),
-            "file_name": F.when(valid, F.element_at(parts, -1)),
-            "n_parts": n.cast("bigint"),
-            "valid": valid,
-        }
-    )
+        return F.when(valid, F.get("_parts", F.lit(i)))
+
+    fields = {
+        "cluster": part(1),
+        "host_id": part(2),
+        "snapshot": part(3),
+        "backup_type": part(4),
+        "keyspace": F.when(full, part(5)),
+        "table": F.when(full, part(6)),
+        "file_name": F.when(valid, last),
+        "n_parts": n.cast("bigint"),
+        "valid": valid,
+    }
+    # As rows of a one-element array: a filter on a part then tests the part. On plain columns it
+    # would be moved below them, and split the key again for every part it mentions.
+    parts = F.inline(F.array(F.struct(*[c.alias(name) for name, c in fields.items()])))
+    return split.select(*objects.columns, parts)
 
 
 def snapshot_name(ts: str | Column) -> Column:
@@ -102,4 +105,4 @@ def hash_part(column: str | Column, parts: str | Column) -> Column:
     """A number from 0 to ``parts`` - 1 that depends on the text only."""
     parts = F.col(parts) if isinstance(parts, str) else parts
     number = F.conv(F.substring(F.md5(column), 1, 8), 16, 10).cast("bigint")
-    return number % parts
+    return F.when(parts > 1, number % parts).otherwise(F.lit(0).cast("bigint"))

@@ -9,27 +9,38 @@ from pyspark.sql import functions as F
 from strongbox.filesystem import resolve
 from strongbox.functions.keys import hash_part, metric_name, object_key, removable, snapshot_name
 from strongbox.operators.catalog import mark_copied
-from strongbox.operators.joins import join_on
+from strongbox.operators.joins import SMALL_TABLE_ROWS, join_on
 from strongbox.schemas import CL, META, SNAP, SST, UNKNOWN_NUMBER
 
 LIST_LIMIT = 10_000
 
 
-def bounded_lists(rows: DataFrame, keys: Sequence[str], item: str, limit: int = LIST_LIMIT) -> DataFrame:
+def bounded_lists(rows: DataFrame, keys: Sequence[str], item: str, limit: int = LIST_LIMIT, weight: str | None = None) -> DataFrame:
     """Sorted lists of the items of each key, about ``limit`` items in one.
 
-    A key with more items gets several lists, numbered by ``part``: no task holds a whole key.
-    ``n_items`` counts the key, not the part.
+    A key with more items gets several lists, numbered by ``part``, so no task holds a whole key.
+    ``n_items`` counts, and ``total`` adds up ``weight`` over, the key and not the part.
     """
     keys = list(keys)
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_items"))
-    parts = F.ceil(F.col("n_items") / limit)
-    return (
-        join_on(rows, counts, keys)
-        .withColumn("part", hash_part(item, parts))
-        .groupBy(*keys, "part", "n_items")
-        .agg(F.sort_array(F.collect_list(item)).alias("items"))
+    count = F.count(F.lit(1))
+    weighed = F.sum(weight) if weight else count
+    long = rows.groupBy(*keys).agg(count.alias("_n"), weighed.alias("_total")).where(F.col("_n") > limit)
+    known = long.limit(SMALL_TABLE_ROWS + 1).collect()
+    few = len(known) <= SMALL_TABLE_ROWS
+    if known:
+        long = rows.sparkSession.createDataFrame(known, long.schema) if few else long
+        rows = join_on(rows, long, keys, "left", small=few)
+        parts = F.coalesce(F.ceil(F.col("_n") / limit), F.lit(1))
+        rows = rows.withColumn("part", hash_part(item, parts))
+    else:
+        nothing = F.lit(None).cast("bigint")
+        rows = rows.withColumns({"_n": nothing, "_total": nothing, "part": F.lit(0).cast("bigint")})
+    lists = rows.groupBy(*keys, "part").agg(
+        F.coalesce(F.max("_n"), count).alias("n_items"),
+        F.coalesce(F.max("_total"), weighed).alias("total"),
+        F.sort_array(F.collect_list(item)).alias("items"),
     )
+    return lists
 
 
 def fold_backup_results(manifest: DataFrame) -> DataFrame:
@@ -39,10 +50,8 @@ def fold_backup_results(manifest: DataFrame) -> DataFrame:
     """
     backup = ["host_id", "snapshot", "backup_type", "keyspace"]
     directories = manifest.groupBy(*backup, "directory").agg(F.count(F.lit(1)).alias("n_files"))
-    totals = directories.groupBy(*backup).agg(F.sum("n_files").alias("files_count"))
-    lists = bounded_lists(directories, backup, "directory")
-    return join_on(lists, totals, backup).select(
-        *backup, "files_count", F.col("n_items").alias("n_directories"), "part", F.col("items").alias("directories")
+    return bounded_lists(directories, backup, "directory", weight="n_files").select(
+        *backup, F.col("total").alias("files_count"), F.col("n_items").alias("n_directories"), "part", F.col("items").alias("directories")
     )
 
 

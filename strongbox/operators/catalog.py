@@ -6,37 +6,35 @@ from pyspark.sql import functions as F
 from strongbox.schemas import SNAP, SST
 
 # .../<keyspace>/<table>/snapshots/<name>/<file> and .../<keyspace>/<table>/backups/<file>
-SNAPSHOT_PATH = r"^(.*/([^/]+)/([^/]+)/snapshots/([^/]+))/.+$"
-INCREMENT_PATH = r"^(.*/([^/]+)/([^/]+)/backups)/.+$"
+SNAPSHOT_FOLDER = r"^(.*/[^/]+/[^/]+/snapshots/[^/]+)/.+$"
+INCREMENT_FOLDER = r"^(.*/[^/]+/[^/]+/backups)/.+$"
 
 
-def _matched(pattern: str, group: int) -> Column:
-    return F.regexp_extract("path", pattern, group)
+def _folders(files: DataFrame, pattern: str) -> DataFrame:
+    """Folders that match, with file count and bytes; names are taken from the folder later."""
+    found = files.select(F.regexp_extract("path", pattern, 1).alias("directory"), "length")
+    return _count(found.where(F.col("directory") != ""), "directory")
+
+
+def _from_end(i: int) -> Column:
+    return F.split_part("directory", F.lit("/"), F.lit(-i))
 
 
 def discover_snapshot_dirs(files: DataFrame, snapshot: str | None = None) -> DataFrame:
     """Staged snapshot folders, of one snapshot or of all, with file count and bytes."""
-    found = files.where(F.col("path").rlike(SNAPSHOT_PATH)).select(
-        _matched(SNAPSHOT_PATH, 2).alias("keyspace"),
-        _matched(SNAPSHOT_PATH, 3).alias("table"),
-        _matched(SNAPSHOT_PATH, 4).alias("snapshot"),
-        _matched(SNAPSHOT_PATH, 1).alias("directory"),
-        "length",
-    )
     if snapshot is not None:
-        found = found.where(F.col("snapshot") == snapshot)
-    return _count(found, "keyspace", "table", "snapshot", "directory")
+        files = files.where(F.col("path").contains(f"/snapshots/{snapshot}/"))
+    found = _folders(files, SNAPSHOT_FOLDER).select(
+        _from_end(4).alias("keyspace"), _from_end(3).alias("table"), _from_end(1).alias("snapshot"), "directory", "n_files", "n_bytes"
+    )
+    return found if snapshot is None else found.where(F.col("snapshot") == snapshot)
 
 
 def discover_increment_dirs(files: DataFrame) -> DataFrame:
     """Folders of increments, with file count and bytes."""
-    found = files.where(F.col("path").rlike(INCREMENT_PATH)).select(
-        _matched(INCREMENT_PATH, 2).alias("keyspace"),
-        _matched(INCREMENT_PATH, 3).alias("table"),
-        _matched(INCREMENT_PATH, 1).alias("directory"),
-        "length",
+    return _folders(files, INCREMENT_FOLDER).select(
+        _from_end(3).alias("keyspace"), _from_end(2).alias("table"), "directory", "n_files", "n_bytes"
     )
-    return _count(found, "keyspace", "table", "directory")
 
 
 def discover_change_log(files: DataFrame, log_dir: str, required: bool = False) -> DataFrame:

@@ -6,6 +6,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+SMALL_TABLE_ROWS = 100_000  # a few short columns each, about 10 MB
+
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", small: bool = False) -> DataFrame:
     """``left`` with the other columns of ``right``; a null key meets a null key.

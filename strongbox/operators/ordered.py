@@ -16,11 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strongbox.operators.joins import join_on
+from strongbox.operators.joins import SMALL_TABLE_ROWS, join_on
 
 MAX_ROWS = 2_000_000
 MAX_GROUP_ROWS = 500_000  # for groups that become a pandas frame
-SMALL_TABLE_ROWS = 100_000  # a few fixed-width columns each, about 10 MB
 SLICES_PER_LIMIT = 4
 MAX_LEVELS = 6
 
@@ -162,30 +161,49 @@ def admit(
     side = "right" if after else "left"
     rows = rows.withColumn("_busy", (F.col(busy) if busy else F.lit(None)).cast("long"))
     sliced = slice_hot_keys(rows, keys, [start, tie], max_rows)
-    columns = rows.columns
+    columns, group = rows.columns, sliced.group
     schema = T.StructType(rows.schema.fields + [T.StructField("admitted", T.BooleanType())])
 
-    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([start, tie], ignore_index=True)
-        taking = np.flatnonzero(~pdf[exempt].to_numpy(bool)) if exempt else np.arange(len(pdf))
-        admitted = np.ones(len(pdf), bool)
-        admitted[taking] = _walk(pdf[start].to_numpy()[taking], pdf[hold].to_numpy()[taking], pdf["_busy"].iloc[0], side)
-        return pdf[columns].assign(admitted=admitted)
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = held = None
+        for batch in batches:
+            begin, end, until = (batch[c].to_numpy() for c in (start, hold, "_busy"))
+            taking = ~batch[exempt].to_numpy(bool) if exempt else np.ones(len(batch), bool)
+            admitted = ~taking
+            for low, high in _runs(batch, group):
+                now = [None if pd.isna(v) else v for v in batch[group].iloc[low]]
+                if now != key:
+                    key, held = now, None if pd.isna(until[low]) else int(until[low])
+                at = low + np.flatnonzero(taking[low:high])
+                took = at[_walk(begin[at], end[at], held, side)]
+                if len(took):
+                    admitted[took], held = True, int(end[took[-1]])
+            yield batch[columns].assign(admitted=admitted)
 
     if sliced.slices:
         known = sliced.attach(_busy_per_slice(sliced, start, hold, tie, exempt, side))
         known = known.withColumn("_busy", F.coalesce("_entry", "_busy")).drop("_entry")
     else:
         known = sliced.rows
-    return known.groupBy(*sliced.group).applyInPandas(mark, schema).drop("_busy")
+    in_order = known.repartition(*group).sortWithinPartitions(*group, start, tie)
+    return in_order.select(*dict.fromkeys([*columns, *group])).mapInPandas(mark, schema).drop("_busy")
+
+
+def _runs(batch: pd.DataFrame, group: list[str]) -> Iterator[tuple[int, int]]:
+    """The stretches of rows with the same group in a sorted batch."""
+    codes = [pd.factorize(batch[g], use_na_sentinel=False)[0] for g in group]
+    changes = reduce(np.logical_or, [c[1:] != c[:-1] for c in codes])
+    edges = [0, *(np.flatnonzero(changes) + 1).tolist(), len(batch)]
+    return zip(edges, edges[1:]) if len(batch) else iter(())
 
 
-def _walk(start: np.ndarray, hold: np.ndarray, busy, side: str) -> np.ndarray:
-    admitted = np.zeros(len(start), bool)
+def _walk(start: np.ndarray, hold: np.ndarray, busy: int | None, side: str) -> list[int]:
+    """The positions that are admitted, one after the other."""
     following = _following(start, hold, side)
-    at = 0 if pd.isna(busy) else int(np.searchsorted(start, int(busy), side))
+    at = 0 if busy is None else int(np.searchsorted(start, busy, side))
+    admitted = []
     while at < len(start):
-        admitted[at] = True
+        admitted.append(at)
         at = following[at]
     return admitted
 
