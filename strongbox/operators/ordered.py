@@ -7,7 +7,7 @@ folded over the slices only. Without such a key the plan is the plain window.
 """
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 
 from strongbox.operators.joins import SMALL_TABLE_ROWS, join_on
 
-MAX_ROWS = 2_000_000
-MAX_GROUP_ROWS = 500_000  # for groups that become a pandas frame
+MAX_ROWS = 5_000_000
+MAX_GROUP_ROWS = 1_000_000  # for groups that become a pandas frame
 SLICES_PER_LIMIT = 4
 MAX_LEVELS = 6
 
@@ -53,12 +53,13 @@ def slice_hot_keys(rows: DataFrame, keys: Sequence[str], order: Sequence[str], m
     again, and rows that share the first order column are cut by the next one.
     """
     keys, slices, count = list(keys), [], 0
+    rows = rows.withColumn("_cut", F.lit(True))
     for level in range(MAX_LEVELS):
         group = keys + slices
         bounds = [f(o).alias(f"_{n}{i}") for i, o in enumerate(order) for n, f in (("lo", F.min), ("hi", F.max))]
-        crowded = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), *bounds).where(F.col("_n") > max_rows)
+        counts = rows.where("_cut").groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), *bounds)
         # At most one row per max_rows input rows.
-        crowded = crowded.collect()
+        crowded = counts.where(F.col("_n") > max_rows).collect()
         cuts = [(*[r[g] for g in group], *_cut(r, len(order), max_rows)) for r in crowded]
         cuts = [c for c in cuts if c[-1] is not None]
         if not cuts:
@@ -73,11 +74,16 @@ def slice_hot_keys(rows: DataFrame, keys: Sequence[str], order: Sequence[str], m
         name = f"_slice{level}"
         rows = (
             join_on(rows, table, group, "left", small=len(cuts) <= SMALL_TABLE_ROWS)
-            .withColumn(name, F.coalesce(F.floor((position - F.col("_lo")) / F.col("_width")), F.lit(0)))
+            .withColumns(
+                {
+                    name: F.coalesce(F.floor((position - F.col("_lo")) / F.col("_width")), F.lit(0)),
+                    "_cut": F.col("_width").isNotNull(),
+                }
+            )
             .drop("_by", "_lo", "_width")
         )
         slices.append(name)
-    return Sliced(rows, keys, slices, count)
+    return Sliced(rows.drop("_cut"), keys, slices, count)
 
 
 def _cut(stats, n_order: int, max_rows: int) -> tuple[int, int, int | None]:
@@ -107,8 +113,21 @@ def running(
     max_rows: int = MAX_ROWS,
 ) -> DataFrame:
     """Running sum, min or max per key. ``order`` are whole-number columns that leave no ties."""
-    rows = rows.withColumns({f"_in_{n}": value for n, (_, value) in measures.items()})
     sliced = slice_hot_keys(rows, keys, order, max_rows)
+    done = running_in(sliced, order, measures, include_current=include_current, descending=descending)
+    return done.rows.drop(*sliced.slices)
+
+
+def running_in(
+    sliced: Sliced,
+    order: Sequence[str],
+    measures: dict[str, tuple[str, Column]],
+    *,
+    include_current: bool = True,
+    descending: bool = False,
+) -> Sliced:
+    """``running`` for rows that are sliced along ``order`` already."""
+    sliced = replace(sliced, rows=sliced.rows.withColumns({f"_in_{n}": value for n, (_, value) in measures.items()}))
     direction = F.desc if descending else F.asc
     last = Window.currentRow if include_current else -1
     inside = (
@@ -117,11 +136,12 @@ def running(
     )
     own = {n: COMBINE[kind][0](f"_in_{n}").over(inside) for n, (kind, _) in measures.items()}
     inputs = [f"_in_{n}" for n in measures]
+    local = replace(sliced, rows=sliced.rows.withColumns(own).drop(*inputs))
     if not sliced.slices:
-        return sliced.rows.withColumns(own).drop(*inputs)
+        return local
 
     before = (
-        Window.partitionBy(*keys).orderBy(*[direction(s) for s in sliced.slices])
+        Window.partitionBy(*sliced.keys).orderBy(*[direction(s) for s in sliced.slices])
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     totals = sliced.rows.groupBy(*sliced.group).agg(
@@ -131,13 +151,9 @@ def running(
         *sliced.group,
         *[COMBINE[kind][0](f"_total_{n}").over(before).alias(f"_carry_{n}") for n, (kind, _) in measures.items()],
     ).where(reduce(lambda a, b: a | b, [F.col(f"_carry_{n}").isNotNull() for n in measures]))
-    local = Sliced(sliced.rows.withColumns(own), sliced.keys, sliced.slices, sliced.slice_count)
-    combined = {
-        n: COMBINE[kind][1](F.col(f"_carry_{n}"), F.col(n)) for n, (kind, _) in measures.items()
-    }
-    return local.attach(carried).withColumns(combined).drop(
-        *inputs, *sliced.slices, *[f"_carry_{n}" for n in measures]
-    )
+    combined = {n: COMBINE[kind][1](F.col(f"_carry_{n}"), F.col(n)) for n, (kind, _) in measures.items()}
+    whole = local.attach(carried).withColumns(combined).drop(*[f"_carry_{n}" for n in measures])
+    return replace(sliced, rows=whole)
 
 
 def admit(
@@ -158,9 +174,17 @@ def admit(
     admitted row, or the column ``busy`` before the first one. Rows marked ``exempt`` are admitted
     without holding the key. ``start``, ``hold``, ``tie`` and ``busy`` are whole numbers.
     """
-    side = "right" if after else "left"
-    rows = rows.withColumn("_busy", (F.col(busy) if busy else F.lit(None)).cast("long"))
     sliced = slice_hot_keys(rows, keys, [start, tie], max_rows)
+    return admit_in(sliced, start, hold, tie, after=after, busy=busy, exempt=exempt).drop(*sliced.slices)
+
+
+def admit_in(
+    sliced: Sliced, start: str, hold: str, tie: str, *, after: bool = False, busy: str | None = None, exempt: str | None = None
+) -> DataFrame:
+    """``admit`` for rows that are sliced along ``start`` and ``tie`` already."""
+    side = "right" if after else "left"
+    rows = sliced.rows.withColumn("_busy", (F.col(busy) if busy else F.lit(None)).cast("long"))
+    sliced = replace(sliced, rows=rows)
     columns, group = rows.columns, sliced.group
     schema = T.StructType(rows.schema.fields + [T.StructField("admitted", T.BooleanType())])
 
@@ -186,7 +210,7 @@ def admit(
     else:
         known = sliced.rows
     in_order = known.repartition(*group).sortWithinPartitions(*group, start, tie)
-    return in_order.select(*dict.fromkeys([*columns, *group])).mapInPandas(mark, schema).drop("_busy")
+    return in_order.select(*columns).mapInPandas(mark, schema).drop("_busy")
 
 
 def _runs(batch: pd.DataFrame, group: list[str]) -> Iterator[tuple[int, int]]:
