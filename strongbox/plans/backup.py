@@ -1,27 +1,21 @@
 """Snapshots and increments of a table."""
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strongbox.filesystem import exists
-from strongbox.schemas import BACKUP_PARTITIONS, SNAP, SST
-from strongbox.sources.files import read_backup
+from strongbox.filesystem import children, exists
+from strongbox.schemas import BACKUP_PARTITIONS, SNAP, SST, UNKNOWN_NUMBER
+from strongbox.sources.files import read_backup, table_folder
+from strongbox.workspace import new_folder
 
 ROWS_PER_FILE = 5_000_000
 
 
-def _folder(backup: str, snapshot: str, backup_type: str, keyspace: str) -> str:
-    return f"{backup}/snapshot={_escaped(snapshot)}/backup_type={backup_type}/keyspace={_escaped(keyspace)}"
-
-
-def _escaped(value: str) -> str:
-    """A partition value as it is written in a path."""
-    return "".join(f"%{ord(c):02X}" if c in "\"#%'*/:=?\\{[]^" or ord(c) < 32 else c for c in value)
-
-
 def _write(rows: DataFrame, backup: str, **parts: str) -> None:
     tagged = rows.withColumns({n: F.lit(v) if isinstance(v, str) else v for n, v in parts.items()})
     tagged.write.mode("append").option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy(*BACKUP_PARTITIONS).parquet(backup)
@@ -32,37 +26,48 @@ def snapshot_backup(rows: DataFrame, backup: str, snapshot: str, keyspace: str,
 
     Tasks copy their own input: there is no shuffle. A name that exists already is an error.
     """
-    if exists(_folder(backup, snapshot, SNAP, keyspace) + f"/table={_escaped(table)}"):
+    if exists(table_folder(backup, snapshot=snapshot, backup_type=SNAP, keyspace=keyspace, table=table)):
         raise FileExistsError(f"snapshot {snapshot} of {keyspace}.{table} exists")
     _write(rows, backup, snapshot=snapshot, backup_type=SNAP, keyspace=keyspace, table=table)
     return backup_manifest(rows.sparkSession, backup, rows.schema, snapshot=snapshot, backup_type=SNAP, keyspace=keyspace, table=table)
 
 
+def snapshot_keyspace(tables: Mapping[str, DataFrame], backup: str, snapshot: str, keyspace: str) -> DataFrame:
+    """Copies all tables of a keyspace under one snapshot name; returns one manifest."""
+    manifests = [snapshot_backup(rows, backup, snapshot, keyspace, table) for table, rows in tables.items()]
+    return reduce(DataFrame.unionByName, manifests)
+
+
 def incremental_backup(
     rows: DataFrame, backup: str, keyspace: str, table: str, keys: Sequence[str], version: str, snapshot: str | None = None
 ) -> DataFrame:
     """Copies the row versions that no backup of the last snapshot holds; returns the manifest.
 
-    Only keys and versions of the backup are read. Without a snapshot to attach to it is an error.
+    Only keys and versions of the backup are read, and only keys and versions are shuffled to find
+    what is new. What is new is written down first: its size is then known, and the planner
+    broadcasts it if it is small, so whole rows are shuffled only for a large increment. Without a
+    snapshot to attach to it is an error.
     """
     spark = rows.sparkSession
-    last = snapshot or last_snapshot(spark, backup, keyspace, table)
+    last = snapshot or last_snapshot(backup, keyspace, table)
     if last is None:
         raise ValueError("take a snapshot before an increment")
     known = read_backup(
         spark, backup, rows.schema, snapshot=last, backup_type=[SNAP, SST], keyspace=keyspace, table=table
     ).select(*keys, version)
-    fresh = rows.join(known, [*keys, version], "left_anti").select(*rows.columns)
-    _write(fresh, backup, snapshot=last, backup_type=SST, keyspace=keyspace, table=table)
+    fresh = new_folder(spark, "fresh-keys")
+    rows.select(*keys, version).join(known, [*keys, version], "left_anti").distinct().write.parquet(fresh)
+    found = spark.read.schema(rows.select(*keys, version).schema).parquet(fresh)
+    _write(rows.join(found, [*keys, version], "left_semi").select(*rows.columns), backup, snapshot=last, backup_type=SST, keyspace=keyspace, table=table)
     return backup_manifest(spark, backup, rows.schema, snapshot=last, backup_type=SST, keyspace=keyspace, table=table)
 
 
-def last_snapshot(spark: SparkSession, backup: str, keyspace: str, table: str) -> str | None:
-    """The name of the newest snapshot of a table, from the folder names alone."""
-    if not exists(backup):
-        return None
-    names = read_backup(spark, backup, T.StructType([]), backup_type=SNAP, keyspace=keyspace, table=table)
-    return names.agg(F.max("snapshot")).first()[0]
+def last_snapshot(backup: str, keyspace: str, table: str) -> str | None:
+    """The name of the newest snapshot of a table, from the names of the folders alone."""
+    folders = [path.rsplit("/", 1)[-1] for path, is_folder, *_ in children(backup) if is_folder]
+    names = [unquote(f.removeprefix("snapshot=")) for f in folders if f.startswith("snapshot=")]
+    held = [n for n in names if exists(table_folder(backup, snapshot=n, backup_type=SNAP, keyspace=keyspace, table=table))]
+    return max(held, default=None)
 
 
 def backup_manifest(spark: SparkSession, backup: str, schema: T.StructType, **parts: str | Sequence[str]) -> DataFrame:
@@ -71,3 +76,35 @@ def backup_manifest(spark: SparkSession, backup: str, schema: T.StructType, **pa
     return rows.groupBy(*BACKUP_PARTITIONS, F.col("_metadata.file_path").alias("path")).agg(
         F.count(F.lit(1)).alias("n_rows"), F.max("_metadata.file_size").alias("length")
     )
+
+
+STATE = T.StructType(
+    [T.StructField(n, T.StringType()) for n in ("snapshot", "backup_type", "keyspace", "status")]
+    + [T.StructField("files_count", T.LongType()), T.StructField("written", T.TimestampType())]
+)
+
+
+def recorded_backup(
+    spark: SparkSession, log: str, snapshot: str, backup_type: str, keyspace: str, copy: Callable[[], DataFrame]
+) -> DataFrame:
+    """Runs a backup between its two states and keeps what it copied.
+
+    ``copy`` makes the backup and returns its manifest. ``log/states`` gets *inprogress* before and
+    *complete* after it, ``log/metadata`` the manifest. A backup that fails stays in progress.
+    """
+
+    def write_state(status: str, files_count: int) -> None:
+        row = (snapshot, backup_type, keyspace, status, files_count)
+        state = spark.createDataFrame([row], T.StructType(STATE.fields[:-1])).withColumn("written", F.current_timestamp())
+        state.write.mode("append").parquet(f"{log}/states")
+
+    write_state("inprogress", UNKNOWN_NUMBER)
+    manifest = copy()
+    manifest.write.mode("append").parquet(f"{log}/metadata")
+    write_state("complete", manifest.count())
+    return manifest
+
+
+def backup_states(spark: SparkSession, log: str) -> DataFrame:
+    """The states written so far."""
+    return spark.read.schema(STATE).parquet(f"{log}/states")

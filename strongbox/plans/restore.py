@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strongbox.operators.joins import join_on
 from strongbox.operators.state import last_version
 from strongbox.schemas import BACKUP_PARTITIONS, SNAP, SST
 from strongbox.sources.files import read_backup
@@ -43,7 +44,7 @@ def restore_backup(
     if not keys or version is None:
         rows = read(SNAP, SST)
     elif one_row_per_key:
-        rows = _overlay(read(SNAP), last_version(read(SST), list(keys), [version]), list(keys), version)
+        rows = _overlay(read(SNAP), read(SST), list(keys), version)
     else:
         rows = last_version(read(SNAP, SST), list(keys), [version])
     if dest is None:
@@ -52,14 +53,18 @@ def restore_backup(
     return spark.read.schema(schema).parquet(dest)
 
 
-def _overlay(base: DataFrame, newer: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """``base`` with the rows of ``newer`` in place of older ones; both hold a key at most once.
+def _overlay(base: DataFrame, increments: DataFrame, keys: list[str], version: str) -> DataFrame:
+    """``base``, which holds a key once, with the last of the increments in place of older rows.
 
-    The joins meet keys and versions only, and a small set of increments is broadcast by the
-    adaptive planner, which leaves the snapshot unshuffled.
+    The joins meet keys and versions only. Small increments are broadcast by the planner, which
+    knows their size from their files, and the snapshot is then not shuffled at all. A missing
+    version counts as the lowest.
     """
-    other = [F.col(k).alias(f"_k_{k}") for k in keys] + [F.col(version).alias("_version")]
-    same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_k_{k}") for k in keys])
-    kept = base.join(newer.select(*other), same & (F.col("_version") >= F.col(version)), "left_anti")
-    stale = base.select(*keys, version).join(newer.select(*other), same & (F.col("_version") < F.col(version))).select(*keys)
-    return kept.unionByName(newer.join(stale, keys, "left_anti").select(*base.columns))
+    newest = increments.groupBy(*keys).agg(F.max(version).alias("_version"))
+    newest = newest.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    old = F.col(version).isNull() | F.coalesce(F.col("_version") >= F.col(version), F.lit(False))
+    kept = base.join(newest, same & old, "left_anti")
+    stale = base.select(*keys, version).join(newest, same & ~old).select(*keys)
+    newer = last_version(increments, keys, [version])
+    return kept.unionByName(join_on(newer, stale, keys, "left_anti").select(*base.columns))

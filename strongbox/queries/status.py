@@ -11,6 +11,7 @@ from strongbox.functions.status import (
     status_json as to_status_json,
 )
 from strongbox.operators import checks, metrics, state
+from strongbox.operators.validate import expand_keyspaces
 from strongbox.queries.registry import query, table, view
 
 AS_OF = "2024-02-01 00:00:00"
@@ -196,9 +197,8 @@ def check_live_nodes(spark, sf_dir):
     ["v_nodes", "v_keyspaces"],
 )
 def cluster_metadata(spark, sf_dir):
-    listed = [r.keyspace for r in view(spark, sf_dir, "v_keyspaces").limit(1000).collect()]
-    everywhere = F.explode(F.array(*[F.lit(k) for k in listed])).alias("keyspace")
-    return metrics.cluster_metadata(view(spark, sf_dir, "v_nodes"), table(spark, sf_dir, "region").select(F.col("r_name").alias("dc"), everywhere))
+    wanted = table(spark, sf_dir, "region").select(F.col("r_name").alias("dc"), F.lit("*").alias("keyspace"))
+    return metrics.cluster_metadata(view(spark, sf_dir, "v_nodes"), expand_keyspaces(wanted, view(spark, sf_dir, "v_keyspaces")))
 
 
 @query("metric_from_json", "select event_id, cast(props->>'$.k' as double) as reading from events")

@@ -54,6 +54,36 @@ def snapshot_backup(spark, sf_dir):
     return files.read_backup(spark, folder, rows.schema, snapshot=SNAPSHOT)
 
 
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
+          "pages", "benchmark", "labels", "conversations"]
+
+
+@query(
+    "snapshot_keyspace",
+    " union all ".join(f"select '{SNAPSHOT}' as snapshot, 'SNAP' as backup_type, '{KEYSPACE}' as keyspace, '{t}' as \"table\", count(*) as n_rows from {t}" for t in TABLES),
+)
+def snapshot_keyspace(spark, sf_dir):
+    tables = {name: table(spark, sf_dir, name) for name in TABLES}
+    manifest = backup.snapshot_keyspace(tables, new_folder(spark, "backup"), SNAPSHOT, KEYSPACE)
+    return manifest.groupBy("snapshot", "backup_type", "keyspace", "table").agg(F.sum("n_rows").alias("n_rows"))
+
+
+@query(
+    "recorded_backup",
+    f"""select '{SNAPSHOT}' as snapshot, 'SNAP' as backup_type, '{KEYSPACE}' as keyspace, status, status = 'complete' as has_files,
+      (select count(*) from orders) as n_rows from (values ('inprogress'), ('complete')) s(status)""",
+)
+def recorded_backup(spark, sf_dir):
+    folder, rows = new_folder(spark, "backup"), table(spark, sf_dir, "orders")
+    backup.recorded_backup(
+        spark, f"{folder}/log", SNAPSHOT, "SNAP", KEYSPACE,
+        lambda: backup.snapshot_backup(rows, f"{folder}/data", SNAPSHOT, KEYSPACE, "orders"),
+    )
+    kept = spark.read.parquet(f"{folder}/log/metadata").groupBy("snapshot", "backup_type", "keyspace").agg(F.sum("n_rows").alias("n_rows"))
+    states = backup.backup_states(spark, f"{folder}/log").join(kept, ["snapshot", "backup_type", "keyspace"])
+    return states.select("snapshot", "backup_type", "keyspace", "status", (F.col("files_count") > 0).alias("has_files"), "n_rows")
+
+
 @query("incremental_backup", VERSIONS + "select * from placed where backup_type = 'SST'")
 def incremental_backup(spark, sf_dir):
     folder, schema = _backed_up(spark, sf_dir)

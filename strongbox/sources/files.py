@@ -2,6 +2,7 @@
 
 import re
 from collections.abc import Iterator, Sequence
+from itertools import product
 from urllib.parse import unquote
 
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strongbox.filesystem import children, resolve
+from strongbox.filesystem import children, exists, resolve
 from strongbox.schemas import BACKUP_PARTITIONS, with_partitions
 
 
@@ -71,17 +72,35 @@ def _name(folder: str) -> str:
     return unquote(re.sub(r"^(keyspace|table)=", "", folder.rsplit("/", 1)[-1]))
 
 
+def table_folder(backup: str, **parts: str) -> str:
+    """The folder of a partition; ``parts`` are the first of the partition columns."""
+    return "/".join([backup, *[f"{n}={_escaped(parts[n])}" for n in BACKUP_PARTITIONS if n in parts]])
+
+
+def _escaped(value: str) -> str:
+    """A partition value as it is written in a path."""
+    return "".join(f"%{ord(c):02X}" if c in "\"#%'*/:=?\\{[]^" or ord(c) < 32 else c for c in value)
+
+
 def read_backup(spark: SparkSession, backup: str, schema: T.StructType, **parts: str | Sequence[str]) -> DataFrame:
     """Rows of a backup, read from the partitions named by ``parts`` only.
 
-    The schema is given, so partition values stay text.
+    Only the folders of these partitions are listed, so the planner knows the size of what is
+    read and not that of the whole backup. The schema is given, so partition values stay text.
     """
     unknown = set(parts) - set(BACKUP_PARTITIONS)
     if unknown:
         raise ValueError(f"no such backup partition: {sorted(unknown)}")
-    rows = spark.read.schema(with_partitions(schema, BACKUP_PARTITIONS)).parquet(backup)
-    for name, wanted in parts.items():
-        rows = rows.where(F.col(name).isin([wanted] if isinstance(wanted, str) else list(wanted)))
+    wanted = {n: [v] if isinstance(v, str) else list(v) for n, v in parts.items()}
+    leading = [n for i, n in enumerate(BACKUP_PARTITIONS) if set(BACKUP_PARTITIONS[: i + 1]) <= set(wanted)]
+    folders = [table_folder(backup, **dict(zip(leading, values))) for values in product(*[wanted[n] for n in leading])]
+    folders = [f for f in folders if exists(f)]
+    whole = with_partitions(schema, BACKUP_PARTITIONS)
+    if not folders:
+        return spark.createDataFrame([], whole)
+    rows = spark.read.schema(whole).option("basePath", backup).parquet(*folders)
+    for name, values in wanted.items():
+        rows = rows.where(F.col(name).isin(values))
     return rows
 
 

@@ -4,11 +4,10 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from strongbox.filesystem import delete_folder
+from strongbox.filesystem import children, delete_folder
 
 Emit = Callable[[DataFrame, DataFrame], DataFrame]  # batch, state before -> output
 Carry = Callable[[DataFrame, DataFrame, DataFrame], DataFrame]  # batch, state before, output -> state after
@@ -50,10 +49,8 @@ class VersionedState:
 
     def last(self, spark: SparkSession) -> DataFrame:
         """The state after the last batch: the newest of the two versions that are kept."""
-        versions = T.StructType(self.schema.fields + [T.StructField("version", T.LongType())])
-        kept = spark.read.schema(versions).parquet(f"{self.folder}/state")
-        newest = spark.read.schema("version bigint").parquet(f"{self.folder}/state").agg(F.max("version")).first()[0]
-        return kept.where(F.col("version") == newest).drop("version")
+        kept = [int(p.rsplit("=", 1)[1]) for p, is_folder, *_ in children(f"{self.folder}/state") if is_folder]
+        return self.version(spark, max(kept, default=-1))
 
     def output(self, spark: SparkSession, schema: T.StructType) -> DataFrame:
         """What all batches have put out."""

@@ -38,6 +38,22 @@ def test_partitions_are_pruned(spark, orders, tmp_path):
     assert "PartitionFilters: [isnotnull(snapshot" in plan and "ReadSchema: struct<o_orderkey:bigint>" in plan
 
 
+def test_manifest_reads_no_column(spark, orders, tmp_path):
+    manifest = backup.snapshot_backup(orders, str(tmp_path / "b"), PART["snapshot"], "007", "orders")
+    assert "ReadSchema: struct<>" in manifest._jdf.queryExecution().toString()
+
+
+def test_failed_backup_stays_in_progress(spark, orders, tmp_path):
+    place, log = str(tmp_path / "b"), str(tmp_path / "log")
+    copy = lambda: backup.snapshot_backup(orders, place, "s1", "ks", "t/1")
+    backup.recorded_backup(spark, log, "s1", "SNAP", "ks", copy)
+    with pytest.raises(FileExistsError):
+        backup.recorded_backup(spark, log, "s1", "SNAP", "ks", copy)
+    states = [(r.status, r.files_count > 0) for r in backup.backup_states(spark, log).orderBy("written").collect()]
+    assert states == [("inprogress", False), ("complete", True), ("inprogress", False)]
+    assert backup.last_snapshot(place, "ks", "t/1") == "s1" and backup.last_snapshot(place, "ks", "t") is None
+
+
 @pytest.mark.parametrize("unique", [True, False])
 def test_increments_replace_and_add(spark, orders, tmp_path, unique):
     place, keys = str(tmp_path / "b"), ["o_orderkey"]
@@ -63,6 +79,27 @@ def test_increments_replace_and_add(spark, orders, tmp_path, unique):
         restore.restore_backup(spark, place, orders.schema, snapshot=" ", keyspace="007", table="orders")
 
 
+def test_missing_version_is_the_lowest(spark, tmp_path):
+    place, fields = str(tmp_path / "b"), "k int, version int, v string"
+    base = spark.createDataFrame([(1, None, "s"), (2, 5, "s"), (3, None, "s"), (4, 1, "s")], fields)
+    more = spark.createDataFrame([(1, 1, "i"), (2, None, "i"), (3, None, "i"), (5, None, "i")], fields)
+    backup.snapshot_backup(base, place, "s", "ks", "t")
+    more.withColumns({n: F.lit(v) for n, v in (("snapshot", "s"), ("backup_type", "SST"), ("keyspace", "ks"), ("table", "t"))}).write.mode(
+        "append").partitionBy("snapshot", "backup_type", "keyspace", "table").parquet(place)
+    rows = restore.restore_backup(spark, place, base.schema, snapshot="s", keyspace="ks", table="t", keys=["k"], version="version", one_row_per_key=True)
+    assert sorted((r.k, r.v) for r in rows.collect()) == [(1, "i"), (2, "s"), (3, "i"), (4, "s"), (5, "i")]
+
+
+def test_small_increments_leave_the_snapshot_unshuffled(spark, orders, tmp_path):
+    place, keys = str(tmp_path / "b"), ["o_orderkey"]
+    backup.snapshot_backup(orders.where("o_orderkey % 3 <> 0"), place, PART["snapshot"], "007", "orders")
+    backup.incremental_backup(orders, place, "007", "orders", keys, "version")
+    restored = restore.restore_backup(spark, place, orders.schema, **PART, keys=keys, version="version", one_row_per_key=True)
+    plan = restored._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 3
+    assert content(restored) == content(orders)
+
+
 def test_listing(spark, tmp_path):
     for name in ("r1/ks/t1/a", "r1/ks/t1/snapshots/s/b", "r1/ksx/t1/c", "r2/ks/t2/d", "r2/ks/t2/x/y/_hidden"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
