@@ -82,9 +82,13 @@ def split_state_name(state: DataFrame, name: str = "name", value: str = "value")
     )
 
 
-def archive_id(*parts: str | Column) -> Column:
-    """A compact id without dashes, the same whenever the same archive is written again."""
-    return F.substring(F.sha2(F.concat_ws("/", *parts), 256), 1, 32)
+def archive_id(*parts: str) -> Column:
+    """A compact id without dashes, the same whenever the same archive is written again.
+
+    Parts are kept apart, and a missing one differs from an empty one.
+    """
+    text = F.concat_ws("\x01", *[F.coalesce(F.col(p).cast("string"), F.lit("\x02")) for p in parts])
+    return F.substring(F.sha2(text, 256), 1, 32)
 
 
 def metric_name(backup_type: str | Column) -> Column:

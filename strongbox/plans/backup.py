@@ -1,7 +1,6 @@
 """Snapshots and increments of a table."""
 
 from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,13 +28,15 @@ def snapshot_backup(rows: DataFrame, backup: str, snapshot: str, keyspace: str,
     if exists(table_folder(backup, snapshot=snapshot, backup_type=SNAP, keyspace=keyspace, table=table)):
         raise FileExistsError(f"snapshot {snapshot} of {keyspace}.{table} exists")
     _write(rows, backup, snapshot=snapshot, backup_type=SNAP, keyspace=keyspace, table=table)
-    return backup_manifest(rows.sparkSession, backup, rows.schema, snapshot=snapshot, backup_type=SNAP, keyspace=keyspace, table=table)
+    return backup_manifest(rows.sparkSession, backup, snapshot=snapshot, backup_type=SNAP, keyspace=keyspace, table=table)
 
 
 def snapshot_keyspace(tables: Mapping[str, DataFrame], backup: str, snapshot: str, keyspace: str) -> DataFrame:
     """Copies all tables of a keyspace under one snapshot name; returns one manifest."""
-    manifests = [snapshot_backup(rows, backup, snapshot, keyspace, table) for table, rows in tables.items()]
-    return reduce(DataFrame.unionByName, manifests)
+    for table, rows in tables.items():
+        snapshot_backup(rows, backup, snapshot, keyspace, table)
+    spark = next(iter(tables.values())).sparkSession
+    return backup_manifest(spark, backup, snapshot=snapshot, backup_type=SNAP, keyspace=keyspace, table=list(tables))
 
 
 def incremental_backup(
@@ -59,7 +60,7 @@ def incremental_backup(
     rows.select(*keys, version).join(known, [*keys, version], "left_anti").distinct().write.parquet(fresh)
     found = spark.read.schema(rows.select(*keys, version).schema).parquet(fresh)
     _write(rows.join(found, [*keys, version], "left_semi").select(*rows.columns), backup, snapshot=last, backup_type=SST, keyspace=keyspace, table=table)
-    return backup_manifest(spark, backup, rows.schema, snapshot=last, backup_type=SST, keyspace=keyspace, table=table)
+    return backup_manifest(spark, backup, snapshot=last, backup_type=SST, keyspace=keyspace, table=table)
 
 
 def last_snapshot(backup: str, keyspace: str, table: str) -> str | None:
@@ -70,9 +71,9 @@ def last_snapshot(backup: str, keyspace: str, table: str) -> str | None:
     return max(held, default=None)
 
 
-def backup_manifest(spark: SparkSession, backup: str, schema: T.StructType, **parts: str | Sequence[str]) -> DataFrame:
-    """Files of a backup with their row counts; no column of the rows is read."""
-    rows = read_backup(spark, backup, schema, **parts)
+def backup_manifest(spark: SparkSession, backup: str, **parts: str | Sequence[str]) -> DataFrame:
+    """Files of a backup with their row counts; no column is read, so tables may differ."""
+    rows = read_backup(spark, backup, T.StructType([]), **parts)
     return rows.groupBy(*BACKUP_PARTITIONS, F.col("_metadata.file_path").alias("path")).agg(
         F.count(F.lit(1)).alias("n_rows"), F.max("_metadata.file_size").alias("length")
     )

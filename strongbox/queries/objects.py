@@ -41,7 +41,7 @@ def build_object_key(spark, sf_dir):
 
 @query(
     "archive_id",
-    PARSED + """select object_id, substr(sha256(concat_ws('/', host_id, snapshot, keyspace, "table", file_name)), 1, 32) as archive_id
+    PARSED + """select object_id, substr(sha256(concat_ws(chr(1), host_id, snapshot, coalesce(keyspace, chr(2)), coalesce("table", chr(2)), file_name)), 1, 32) as archive_id
     from parsed where valid""",
     ["v_objects"],
 )
@@ -227,7 +227,7 @@ def expire_snapshots(spark, sf_dir):
     ["v_objects"],
 )
 def fold_backup_results(spark, sf_dir):
-    files = valid(spark, sf_dir).withColumn("directory", F.regexp_extract("object_key", "^(.*)/[^/]+$", 1))
+    files = valid(spark, sf_dir).withColumn("directory", F.expr("left(object_key, length(object_key) - length(file_name) - 1)"))
     return backups.fold_backup_results(files).withColumn("directories", F.array_join("directories", ","))
 
 

@@ -113,8 +113,8 @@ def restore_backup(spark, sf_dir):
     VERSIONS + "select snapshot, backup_type, keyspace, \"table\", count(*) as n_rows, true as has_files from placed group by all",
 )
 def backup_manifest(spark, sf_dir):
-    folder, schema = _backed_up(spark, sf_dir)
-    manifest = backup.backup_manifest(spark, folder, schema, snapshot=SNAPSHOT)
+    folder, _ = _backed_up(spark, sf_dir)
+    manifest = backup.backup_manifest(spark, folder, snapshot=SNAPSHOT)
     return manifest.groupBy("snapshot", "backup_type", "keyspace", "table").agg(
         F.sum("n_rows").alias("n_rows"), (F.min("length") > 0).alias("has_files")
     )
@@ -160,7 +160,7 @@ with files as (select source as host_id, lang as "table", lang || '/' || doc_id
   sized as (select *, greatest(ceil(sum(length) over g / {archives.PACK_BYTES}.0), ceil(count(*) over g / {archives.PACK_FILES}.0), 1) as packs from files window g as (partition by host_id, "table")),
   packed as (select *, cast(('0x' || substr(md5(member), 1, 8)) as bigint) % cast(packs as bigint) as pack_no from sized),
   named as (select member, cast(length as bigint) as length, sha256(text) as sha256,
-    'compressed-' || substr(sha256(host_id || '/' || "table" || '/' || pack_no), 1, 32) || '.tar.gz' as archive from packed)
+    'compressed-' || substr(sha256(concat_ws(chr(1), host_id, "table", pack_no)), 1, 32) || '.tar.gz' as archive from packed)
 """
 
 

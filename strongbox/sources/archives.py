@@ -56,7 +56,7 @@ def pack_archives(
     spark = files.sparkSession
     packed = with_packs(files, group, pack_bytes, pack_files)
     named = packed.withColumn(
-        "archive", F.concat(F.lit("compressed-"), archive_id(*group, F.col("pack_no").cast("string")), F.lit(".tar.gz"))
+        "archive", F.concat(F.lit("compressed-"), archive_id(*group, "pack_no"), F.lit(".tar.gz"))
     )
     source = "content" if "content" in files.columns else "path"
     schema = T.StructType([f for f in MEMBERS.fields if f.name in ("archive", "member", "length", "sha256")])
