@@ -55,7 +55,7 @@ def parse_object_key(objects: DataFrame) -> DataFrame:
     # As rows of a one-element array: a filter on a part then tests the part. On plain columns it
     # would be moved below them, and split the key again for every part it mentions.
     parts = F.inline(F.array(F.struct(*[c.alias(name) for name, c in fields.items()])))
-    return split.select(*objects.columns, parts)
+    return split.select(*[c for c in objects.columns if c not in fields], parts)
 
 
 def snapshot_name(ts: str | Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strongbox.filesystem import children, exists
+from strongbox.operators.joins import join_on
 from strongbox.schemas import BACKUP_PARTITIONS, SNAP, SST, UNKNOWN_NUMBER
 from strongbox.sources.files import read_backup, table_folder
 from strongbox.workspace import new_folder
@@ -15,20 +16,31 @@ from strongbox.workspace import new_folder
 ROWS_PER_FILE = 5_000_000
 
 
-def _write(rows: DataFrame, backup: str, **parts: str) -> None:
-    tagged = rows.withColumns({n: F.lit(v) if isinstance(v, str) else v for n, v in parts.items()})
-    tagged.write.mode("append").option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy(*BACKUP_PARTITIONS).parquet(backup)
+def _write(rows: DataFrame, backup: str, compression: str | None, **parts: str) -> None:
+    clash = set(BACKUP_PARTITIONS) & set(rows.columns)
+    if clash:
+        raise ValueError(f"columns named like backup partitions: {sorted(clash)}")
+    writer = rows.withColumns({n: F.lit(v) for n, v in parts.items()}).write.mode("append")
+    if compression:
+        writer = writer.option("compression", compression)
+    writer.option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy(*BACKUP_PARTITIONS).parquet(backup)
 
 
-def snapshot_backup(rows: DataFrame, backup: str, snapshot: str, keyspace: str, table: str) -> DataFrame:
+def snapshot_backup(
+    rows: DataFrame, backup: str, snapshot: str, keyspace: str, table: str, compression: str | None = None
+) -> DataFrame:
     """Copies a whole table under a new snapshot name and returns the manifest of the copy.
 
     Tasks copy their own input: there is no shuffle. A name that exists already is an error.
     """
-    if exists(table_folder(backup, snapshot=snapshot, backup_type=SNAP, keyspace=keyspace, table=table)):
+    spark, parts = rows.sparkSession, {"snapshot": snapshot, "backup_type": SNAP, "keyspace": keyspace, "table": table}
+    folder = table_folder(backup, **parts)
+    if exists(folder):
         raise FileExistsError(f"snapshot {snapshot} of {keyspace}.{table} exists")
-    _write(rows, backup, snapshot=snapshot, backup_type=SNAP, keyspace=keyspace, table=table)
-    return backup_manifest(rows.sparkSession, backup, snapshot=snapshot, backup_type=SNAP, keyspace=keyspace, table=table)
+    _write(rows, backup, compression, **parts)
+    if not exists(folder):  # an empty table leaves no folder, but its snapshot must be found
+        spark.createDataFrame([], rows.schema).write.parquet(folder)
+    return backup_manifest(spark, backup, **parts)
 
 
 def snapshot_keyspace(tables: Mapping[str, DataFrame], backup: str, snapshot: str, keyspace: str) -> DataFrame:
@@ -40,7 +52,14 @@ def snapshot_keyspace(tables: Mapping[str, DataFrame], backup: str, snapshot: st
 
 
 def incremental_backup(
-    rows: DataFrame, backup: str, keyspace: str, table: str, keys: Sequence[str], version: str, snapshot: str | None = None
+    rows: DataFrame,
+    backup: str,
+    keyspace: str,
+    table: str,
+    keys: Sequence[str],
+    version: str,
+    snapshot: str | None = None,
+    compression: str | None = None,
 ) -> DataFrame:
     """Copies the row versions that no backup of the last snapshot holds; returns the manifest.
 
@@ -53,14 +72,14 @@ def incremental_backup(
     last = snapshot or last_snapshot(backup, keyspace, table)
     if last is None:
         raise ValueError("take a snapshot before an increment")
-    known = read_backup(
-        spark, backup, rows.schema, snapshot=last, backup_type=[SNAP, SST], keyspace=keyspace, table=table
-    ).select(*keys, version)
-    fresh = new_folder(spark, "fresh-keys")
-    rows.select(*keys, version).join(known, [*keys, version], "left_anti").distinct().write.parquet(fresh)
-    found = spark.read.schema(rows.select(*keys, version).schema).parquet(fresh)
-    _write(rows.join(found, [*keys, version], "left_semi").select(*rows.columns), backup, snapshot=last, backup_type=SST, keyspace=keyspace, table=table)
-    return backup_manifest(spark, backup, snapshot=last, backup_type=SST, keyspace=keyspace, table=table)
+    names, parts = [*keys, version], {"snapshot": last, "keyspace": keyspace, "table": table}
+    known = read_backup(spark, backup, rows.schema, backup_type=[SNAP, SST], **parts).select(*names)
+    new = join_on(rows.select(*names), known, names, "left_anti")
+    written = new_folder(spark, "new-keys")
+    new.distinct().write.parquet(written)
+    found = spark.read.schema(new.schema).parquet(written)
+    _write(join_on(rows, found, names, "left_semi"), backup, compression, backup_type=SST, **parts)
+    return backup_manifest(spark, backup, backup_type=SST, **parts)
 
 
 def last_snapshot(backup: str, keyspace: str, table: str) -> str | None:

@@ -90,6 +90,19 @@ def test_missing_version_is_the_lowest(spark, tmp_path):
     assert sorted((r.k, r.v) for r in rows.collect()) == [(1, "i"), (2, "s"), (3, "i"), (4, "s"), (5, "i")]
 
 
+def test_empty_table_and_null_keys(spark, tmp_path):
+    place, fields = str(tmp_path / "b"), "k int, version int, v string"
+    empty = spark.createDataFrame([], fields)
+    backup.snapshot_backup(empty, place, "s", "ks", "t")
+    assert restore.restore_backup(spark, place, empty.schema, snapshot="s", keyspace="ks", table="t").count() == 0
+    rows = spark.createDataFrame([(1, None, "a"), (None, 1, "b"), (2, 1, "c"), (2, 1, "c")], fields)
+    for _ in range(2):
+        backup.incremental_backup(rows, place, "ks", "t", ["k"], "version", compression="gzip")
+    assert content(files.read_backup(spark, place, rows.schema).select(*rows.columns)) == content(rows)
+    with pytest.raises(ValueError, match="partitions"):
+        backup.snapshot_backup(rows.withColumnRenamed("v", "table"), place, "s2", "ks", "t")
+
+
 def test_small_increments_leave_the_snapshot_unshuffled(spark, orders, tmp_path):
     place, keys = str(tmp_path / "b"), ["o_orderkey"]
     backup.snapshot_backup(orders.where("o_orderkey % 3 <> 0"), place, PART["snapshot"], "007", "orders")
