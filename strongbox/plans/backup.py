@@ -1,6 +1,7 @@
 """Snapshots and increments of a table."""
 
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,16 +15,19 @@ from strongbox.sources.files import read_backup, table_folder
 from strongbox.workspace import new_folder
 
 ROWS_PER_FILE = 5_000_000
+TABLES_AT_A_TIME = 4
 
 
-def _write(rows: DataFrame, backup: str, compression: str | None, **parts: str) -> None:
+def _write(rows: DataFrame, backup: str, compression: str | None, **parts: str) -> str:
+    """Writes to the folder of one partition: backups of other tables may run at the same time."""
     clash = set(BACKUP_PARTITIONS) & set(rows.columns)
     if clash:
         raise ValueError(f"columns named like backup partitions: {sorted(clash)}")
-    writer = rows.withColumns({n: F.lit(v) for n, v in parts.items()}).write.mode("append")
+    folder, writer = table_folder(backup, **parts), rows.write.mode("append")
     if compression:
         writer = writer.option("compression", compression)
-    writer.option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy(*BACKUP_PARTITIONS).parquet(backup)
+    writer.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(folder)
+    return folder
 
 
 def snapshot_backup(
@@ -34,19 +38,21 @@ def snapshot_backup(
     Tasks copy their own input: there is no shuffle. A name that exists already is an error.
     """
     spark, parts = rows.sparkSession, {"snapshot": snapshot, "backup_type": SNAP, "keyspace": keyspace, "table": table}
-    folder = table_folder(backup, **parts)
-    if exists(folder):
+    if exists(table_folder(backup, **parts)):
         raise FileExistsError(f"snapshot {snapshot} of {keyspace}.{table} exists")
     _write(rows, backup, compression, **parts)
-    if not exists(folder):  # an empty table leaves no folder, but its snapshot must be found
-        spark.createDataFrame([], rows.schema).write.parquet(folder)
     return backup_manifest(spark, backup, **parts)
 
 
 def snapshot_keyspace(tables: Mapping[str, DataFrame], backup: str, snapshot: str, keyspace: str) -> DataFrame:
-    """Copies all tables of a keyspace under one snapshot name; returns one manifest."""
-    for table, rows in tables.items():
-        snapshot_backup(rows, backup, snapshot, keyspace, table)
+    """Copies all tables of a keyspace under one snapshot name; returns one manifest.
+
+    Some tables are copied at a time, so that small ones do not leave the cluster idle.
+    """
+    with ThreadPoolExecutor(TABLES_AT_A_TIME) as pool:
+        copies = [pool.submit(snapshot_backup, rows, backup, snapshot, keyspace, table) for table, rows in tables.items()]
+    for copy in copies:
+        copy.result()
     spark = next(iter(tables.values())).sparkSession
     return backup_manifest(spark, backup, snapshot=snapshot, backup_type=SNAP, keyspace=keyspace, table=list(tables))
 
