@@ -13,8 +13,10 @@ The result is that of best-fit decreasing.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import deque
 from collections.abc import Iterator
@@ -30,46 +32,62 @@ CAPACITY, END_ID = 1024, 2
 #: Pieces of one length are ranked in so many parts, as one length may hold a third of all pieces.
 PARTS = 64
 
-TOUCHING_SPACES = re.compile(r"\s\s")
+TOUCHING_SPACES = re.compile(r"\s\s|\0")
+#: A point or comma behind anything but a letter or digit belongs to what is in front of it.
+JOINED_SIGNS = re.compile(r"[^\w][.,]|_[.,]")
 
 
 class TextIds:
     """Token ids of texts, by a tokenizer whose pre-tokens never hold a blank behind another character.
 
-    A text is cut in front of every blank that has no white space beside it, where the tokenizer cuts
-    as well; each distinct chunk is encoded once per task. Other texts are encoded whole.
+    A text is cut where the tokenizer cuts as well: in front of blanks and around line ends that have
+    no white space beside them, and in front of points and commas behind letters and digits. Each
+    distinct chunk is encoded once per task. Other texts are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 400_000, longest: int = 64):
+    def __init__(self, path: str, most: int = 600_000, longest: int = 64):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[str, bytes] = {"": b""}
         self.most, self.longest = most, longest
 
     def _encoded(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
 
-    def of(self, many: list[str]) -> Iterator[bytes]:
+    def _cut(self, text: str) -> list[str] | None:
+        if TOUCHING_SPACES.search(text) or any(s in text for s in self.special):
+            return None
+        if not JOINED_SIGNS.search(text):
+            text = text.replace(".", "\0.").replace(",", "\0,")
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+
+    def of(self, many: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        cut: list[list[str] | None] = []
-        for text in many:
-            if TOUCHING_SPACES.search(text) or any(s in text for s in self.special):
-                cut.append(None)
-            else:
-                first, *rest = text.split(" ")
-                cut.append([first, *(" " + x for x in rest)])
         if len(self.memo) > self.most:
-            self.memo.clear()
-        new = list(set().union(*(c for c in cut if c)).difference(self.memo))
-        for a in range(0, len(new), 8192):
-            self.memo.update(zip(new[a : a + 8192], self._encoded(new[a : a + 8192]), strict=True))
-        for text, chunks in zip(many, cut, strict=True):
-            yield self._encoded([text])[0] if chunks is None else b"".join(map(self.memo.__getitem__, chunks))
-        for chunk in new:
+            self.memo = {"": b""}
+        cut = [self._cut(text) for text in many]
+        known, new = self.memo.get, set()
+        found = [None if c is None else list(map(known, c)) for c in cut]
+        for chunks, ids in zip(cut, found, strict=True):
+            if chunks is not None and None in ids:
+                new.update(c for c, i in zip(chunks, ids, strict=True) if i is None)
+        fresh = list(new)
+        for a in range(0, len(fresh), 4096):
+            self.memo.update(zip(fresh[a : a + 4096], self._encoded(fresh[a : a + 4096]), strict=True))
+        out = []
+        for text, chunks, ids in zip(many, cut, found, strict=True):
+            if chunks is None:
+                out.extend(self._encoded([text]))
+            else:
+                out.append(b"".join(map(self.memo.__getitem__, chunks) if None in ids else ids))
+        for chunk in fresh:
             if len(chunk) > self.longest:
                 del self.memo[chunk]
+        return out
 
 
 PIECES = arrow_schema(doc_id=pa.int64(), piece=pa.int32(), start=pa.int64(), length=pa.int32(), ids_crc32=pa.int64())

@@ -5,14 +5,15 @@ piece of the vocabulary, best score first, leftmost among equals; the best is me
 neighbours join the agenda, until it is empty. Symbols that are no piece become byte pieces.
 
 No piece has a blank behind another character, so no merge crosses from a word into the blank before
-the next one: a text is cut there, and each distinct chunk goes through the agenda once per task. New
-chunks are compared with the sentencepiece library, a batch at a time; a difference is an error.
+the next one, nor into a line end or from a letter into a point or comma. A text is cut there, and
+each distinct chunk goes through the agenda once per task. New chunks are compared with the sentencepiece library, a batch at a time; a difference is an error.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -23,7 +24,8 @@ from pyspark.sql import DataFrame
 from strongbox.llm.tables import Rows, arrow_schema, rows_of, texts
 from strongbox.llm.words import Memo
 
-BLANK = "▁"
+BLANK, CUT = "▁", "\0"
+RUNS = re.compile(BLANK + "+")
 
 
 class Pieces:
@@ -40,8 +42,10 @@ class Pieces:
         self.bytes = {int(every[i][3:-1], 16): i for i in of_byte}
         self.ids = {p: i for i, p in enumerate(every) if i not in special | of_byte}
         self.scores = {p: self.library.get_score(i) for p, i in self.ids.items()}
-        if len(self.bytes) != 256 or any(BLANK in p.lstrip(BLANK) for p in self.ids):
-            raise ValueError("only vocabularies with byte pieces and without blanks inside pieces are handled")
+        if len(self.bytes) != 256 or any(BLANK in p.lstrip(BLANK) or "\n" in p for p in self.ids):
+            raise ValueError("only vocabularies with byte pieces and without blanks or line ends inside pieces are handled")
+        after = {p[i - 1 : i + 1] for p in self.ids for i in range(1, len(p)) if p[i] in ".," and p[i - 1].isalnum()}
+        self.joined = re.compile("|".join([r"[^\w][.,]", r"_[.,]", *map(re.escape, sorted(after))]))
         if self.library.normalize("a  b") != f"{BLANK}a{BLANK}{BLANK}b":
             raise ValueError("only models that keep white space and add one blank in front are handled")
 
@@ -81,20 +85,19 @@ class Pieces:
         return out
 
 
-def chunks_of(text: str) -> list[str]:
-    """A text with its blank in front, cut where a blank follows another character."""
+def chunks_of(text: str, joined: re.Pattern) -> list[str]:
+    """A text with its blank in front, cut where no piece reaches across: in front of blanks that follow
+    another character, around line ends, and in front of points and commas unless ``joined`` finds
+    one that may belong to what is in front of it."""
     if not text:
         return []
-    parts = text.replace(BLANK, " ").split(" ")
-    if "" not in parts:
-        return [BLANK + p for p in parts]
-    out, blanks = [], ""
-    for p in parts:
-        blanks += BLANK
-        if p:
-            out.append(blanks + p)
-            blanks = ""
-    return [*out, blanks] if blanks else out
+    text = BLANK + text.replace(" ", BLANK)
+    if CUT in text:
+        return [text]
+    if not joined.search(text):
+        text = text.replace(".", CUT + ".").replace(",", CUT + ",")
+    text = RUNS.sub(CUT + r"\g<0>", text) if BLANK * 2 in text else text.replace(BLANK, CUT + BLANK)
+    return text.replace("\n", CUT + "\n" + CUT).split(CUT)
 
 
 class Encoder:
@@ -102,9 +105,11 @@ class Encoder:
 
     def __init__(self, path: str, batch: int = 2048):
         self.pieces, self.batch, self.new = Pieces(path), batch, []
-        self.memo = Memo(self._packed, most=300_000)
+        self.memo = Memo(self._packed, most=400_000)
 
     def _packed(self, chunk: str) -> bytes:
+        if not chunk:
+            return b""
         ids = self.pieces.chunk_ids(chunk)
         self.new.append((chunk, ids))
         if len(self.new) >= self.batch:
@@ -113,16 +118,17 @@ class Encoder:
 
     def check(self) -> None:
         """Compares the chunks that are new since the last check with the library."""
-        # The library puts a blank in front of each text.
-        theirs = self.pieces.library.encode([c[1:] if c[0] == BLANK else c for c, _ in self.new], num_threads=1) if self.new else []
+        # The library puts a blank in front of each text; behind a line end it stands alone.
+        theirs = self.pieces.library.encode([c[1:] if c[0] == BLANK else "\n" + c for c, _ in self.new], num_threads=1) if self.new else []
+        alone = [self.pieces.ids[BLANK], self.pieces.bytes[10]]
         for (chunk, ours), other in zip(self.new, theirs, strict=True):
-            if chunk[1:] and ours != other:
+            if chunk != BLANK and ours != (other if chunk[0] == BLANK else other[len(alone) :]):
                 raise ValueError(f"the agenda and the sentencepiece library differ on {chunk[:80]!r}")
         self.new.clear()
 
     def ids(self, text: str) -> np.ndarray:
         """All ids of a text, without begin and end, as little-endian unsigned 32-bit numbers."""
-        return np.frombuffer(b"".join(map(self.memo.__getitem__, chunks_of(text))), "<u4")
+        return np.frombuffer(b"".join(map(self.memo.__getitem__, chunks_of(text, self.pieces.joined))), "<u4")
 
 
 ENCODED = arrow_schema(doc_id=pa.int64(), n_tokens=pa.int64(), ids=pa.list_(pa.int32()), decoded=pa.string())

@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strongbox.llm.chat import conversations_to_messages, format_chat, read_chat
+from strongbox.llm.jaccard import jaccard_join
+from strongbox.llm.line_dedup import LINE_DEDUP_SQL, line_dedup
 from strongbox.llm.packing import pack_documents
 from strongbox.llm.pieces import encode_pieces
 from strongbox.llm.quality_rules import quality_rules
+from strongbox.llm.site_quality import site_quality
 from strongbox.llm.tables import table
+from strongbox.llm.toxicity import toxicity
 from strongbox.llm.warc import read_warc, write_warc
 from strongbox.workspace import new_folder
 
@@ -40,11 +44,29 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_chat(format_chat(conversations_to_messages(given.unionAll(added))))
 
 
+@query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_deleted")
+
+
+SQL["op2_line_dedup"] = LINE_DEDUP_SQL
+
+
 @query
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), digests=True)
 
 
+@query
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "warc")
@@ -52,6 +74,12 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(spark, path)
 
 
+@query
+def op7_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return site_quality(docs, table(spark, sf_dir, "labels"), docs["source"], F.concat_ws("/", docs["source"], docs["lang"]))
+
+
 @query
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
