@@ -32,9 +32,12 @@ CAPACITY, END_ID = 1024, 2
 #: Pieces of one length are ranked in so many parts, as one length may hold a third of all pieces.
 PARTS = 64
 
-TOUCHING_SPACES = re.compile(r"\s\s|\0")
+#: White space other than one blank in front.
+ODD_SPACE = re.compile(r"(?!^) |[^\S ]")
 #: A point or comma behind anything but a letter or digit belongs to what is in front of it.
-JOINED_SIGNS = re.compile(r"[^\w][.,]|_[.,]")
+JOINED_SIGNS = re.compile(r"[\W_][.,]")
+#: Stands for the ids of a chunk that doesn't tell how its text is cut.
+ODD = b"odd"
 
 
 class TextIds:
@@ -51,7 +54,10 @@ class TextIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {"": b""}
+        # Nothing between two cuts: white space beside white space.
+        self.fixed = {"": ODD, "\n": self._encoded(["\n"])[0]}
+        self.memo: dict[str, bytes] = dict(self.fixed)
+        self.odd = False
         self.most, self.longest = most, longest
 
     def _encoded(self, chunks: list[str]) -> list[bytes]:
@@ -59,32 +65,42 @@ class TextIds:
         return [array("I", e.ids).tobytes() for e in found]
 
     def _cut(self, text: str) -> list[str] | None:
-        if TOUCHING_SPACES.search(text) or any(s in text for s in self.special):
+        if "\0" in text or any(s in text for s in self.special):
             return None
         if not JOINED_SIGNS.search(text):
             text = text.replace(".", "\0.").replace(",", "\0,")
-        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        chunks = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        if not chunks[0]:
+            del chunks[0]
+        if chunks and not chunks[-1]:
+            del chunks[-1]
+        return chunks
 
     def of(self, many: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         if len(self.memo) > self.most:
-            self.memo = {"": b""}
+            self.memo = dict(self.fixed)
         cut = [self._cut(text) for text in many]
         known, new = self.memo.get, set()
         found = [None if c is None else list(map(known, c)) for c in cut]
         for chunks, ids in zip(cut, found, strict=True):
             if chunks is not None and None in ids:
                 new.update(c for c, i in zip(chunks, ids, strict=True) if i is None)
-        fresh = list(new)
+        odd = {c for c in new if ODD_SPACE.search(c) or c == " "}
+        self.odd = self.odd or bool(odd)
+        self.memo.update(dict.fromkeys(odd, ODD))
+        fresh = list(new - odd)
         for a in range(0, len(fresh), 4096):
             self.memo.update(zip(fresh[a : a + 4096], self._encoded(fresh[a : a + 4096]), strict=True))
         out = []
         for text, chunks, ids in zip(many, cut, found, strict=True):
-            if chunks is None:
+            if chunks is not None and None in ids:
+                ids = list(map(self.memo.__getitem__, chunks))
+            if chunks is None or (self.odd or "" in chunks) and ODD in ids:
                 out.extend(self._encoded([text]))
             else:
-                out.append(b"".join(map(self.memo.__getitem__, chunks) if None in ids else ids))
-        for chunk in fresh:
+                out.append(b"".join(ids))
+        for chunk in new:
             if len(chunk) > self.longest:
                 del self.memo[chunk]
         return out
