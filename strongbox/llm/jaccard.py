@@ -363,3 +363,9 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     return info.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
     )
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without those linked to a document with a smaller id. Rows without doc_id stay."""
+    more = jaccard_join(docs, size, percent).where("component_id < doc_id").select(F.col("doc_id").alias("__doc_id")).distinct()
+    return docs.join(more, docs["doc_id"] == F.col("__doc_id"), "left_anti")

@@ -244,3 +244,19 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
         yield from out.take()
 
     return texts(docs).mapInArrow(score, SCORED_DDL)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that the quality rules keep, with all their columns."""
+    model = train(docs, labels)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = word_hashes()
+        for batch in batches:
+            kept = []
+            for (text,) in rows_of(iter([batch]), "text"):
+                counts, h, raw = read_text(text or "", memo)
+                kept.append(not counts.failed() and (model is None or model.probability(counts, h, raw) >= threshold))
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strongbox.llm.chat import conversations_to_messages, format_chat, read_chat
 from strongbox.llm.jaccard import jaccard_join
 from strongbox.llm.line_dedup import LINE_DEDUP_SQL, line_dedup
+from strongbox.llm.neighbours import nearest_neighbours
 from strongbox.llm.packing import pack_documents
 from strongbox.llm.pieces import encode_pieces
 from strongbox.llm.quality_rules import quality_rules
@@ -88,3 +89,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+@query
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)

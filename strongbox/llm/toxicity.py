@@ -12,10 +12,12 @@ bounded sample: ``SAMPLE`` rows of each class to look up, ``CALIBRATION`` of eac
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,39 +25,42 @@ from pyspark.sql import functions as F
 
 from strongbox.llm.quality_rules import platt
 from strongbox.llm.tables import Rows, arrow_schema, held_out, is_held_out, rows_of, texts, written
-from strongbox.llm.words import Memo, words_of
+from strongbox.llm.words import Memo
 
 SAMPLE, CALIBRATION = 2000, 500
-TERMS, LEAST_EXAMPLES, LEAST_CHI = 4096, 5, 20.0
+TERMS, LEAST_EXAMPLES, LEAST_CHI = 4096, 5, 40.0
 NEIGHBOURS, BLOCK = 15, 512
 #: Added to the weight of all votes: distant examples alone don't decide.
 DOUBT = 0.1
 
 
-def terms_of(word: bytes) -> tuple[str, ...]:
-    """A word's terms, without case and the signs around it; none if nothing else is left."""
-    plain = "".join(c for c in word.decode("utf-8", "replace").lower() if c.isalnum())
-    if not plain:
-        return ()
-    plain = f"^{plain[:100]}$"
-    runs = {plain[i : i + n] for n in (4, 5) for i in range(len(plain) - n + 1)}
-    return (plain, *sorted(runs - {plain}))
+BETWEEN_WORDS = re.compile(r"[\W_]+")
+
+
+def marked(text: str) -> str:
+    """A text's words without case, each between ^ and $."""
+    return "^" + BETWEEN_WORDS.sub("$^", text.lower()) + "$"
+
+
+def terms_of(word: str) -> set[str]:
+    """The terms of a marked word."""
+    return {word, *(word[i : i + n] for n in (4, 5) for i in range(len(word) - n + 1))}
 
 
 class TermCounts:
     """How often the terms of a vocabulary occur in a text."""
 
     def __init__(self, vocabulary: list[str]):
-        self.size, known = len(vocabulary), {t: i for i, t in enumerate(vocabulary)}
-        self.memo = Memo(lambda word: tuple(known[t] for t in terms_of(word) if t in known))
+        self.found = ahocorasick.Automaton()
+        for i, term in enumerate(vocabulary):
+            self.found.add_word(term, i)
+        self.found.make_automaton()
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Terms and counts, in the order of terms."""
-        found = Counter()
-        for some in filter(None, map(self.memo.__getitem__, words_of(text))):
-            found.update(some)
-        terms = np.array(sorted(found), np.int64)
-        return terms, np.array([found[t] for t in terms.tolist()], np.float64)
+        counts = Counter(i for _, i in self.found.iter(marked(text)))
+        terms = np.array(sorted(counts), np.int64)
+        return terms, np.array([counts[t] for t in terms.tolist()], np.float64)
 
 
 def tfidf(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -146,7 +151,7 @@ def vocabulary_of(examples: DataFrame, terms: int) -> list[str]:
         out = Rows(arrow_schema(term=pa.string(), bad=pa.int64(), good=pa.int64()), most=65536)
         for text, label in rows_of(batches, "text", "label"):
             own = set()
-            for some in map(memo.__getitem__, set(words_of(text))):
+            for some in map(memo.__getitem__, set(marked(text).replace("$^", "$ ^").split(" "))):
                 own.update(some)
             found[label].update(own)
         for t in found[0].keys() | found[1].keys():
@@ -258,3 +263,22 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, calibrati
         yield from out.take()
 
     return texts(docs).mapInArrow(score, SCORED_DDL)
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose score is below the threshold, with all their columns."""
+    model, share = train(docs, labels)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        counts, index = (TermCounts(model.vocabulary), Index(model.vectors, len(model.vocabulary))) if model else (None, None)
+        for batch in batches:
+            kept = []
+            for (text,) in rows_of(iter([batch]), "text"):
+                found = counts.of(text or "") if model else None
+                p = model.score(index.nearest(found[0], tfidf(*found, model.idf), NEIGHBOURS)) if model else share
+                kept.append(p < threshold)
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
