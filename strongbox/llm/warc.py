@@ -251,9 +251,11 @@ def reassemble(segments: DataFrame, payloads: bool = False) -> DataFrame:
         out, now = Rows(schema), None
 
         def close() -> None:
+            if now["total"] != now["length"]:
+                raise ValueError(f"page {now['page']}: segments are missing, or the total length is wrong")
             length, digest = now["frame"].done()
-            if now["total"] != now["length"] or digest != now["digest"]:
-                raise ValueError(f"page {now['page']}: segments are missing or not what the record says")
+            if digest != now["digest"]:
+                raise ValueError(f"page {now['page']}: the payload isn't what its digest says")
             out.add(now["page"], length, digest, *([b"".join(now["frame"].kept)] if payloads else []), size=length if payloads else 0)
 
         for origin, page, number, total, digest, block in rows_of(batches, "origin", "page_id", "segment", "total", "digest", "block"):
