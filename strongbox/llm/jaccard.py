@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from strongbox.llm.components import components
 from strongbox.llm.tables import Rows, arrow_schema, partitions, rows_of, texts, written
-from strongbox.llm.words import MIX2, mixed, shingles, word_hashes, words_of
+from strongbox.llm.words import MIX2, Memo, mixed, shingles, word_hashes, words_of
 
 #: Parts beyond the number of differing elements: so many may be empty before first elements are used.
 SLACK = 2
@@ -209,66 +209,91 @@ def members(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return written(dealt.mapInArrow(meet, "kind int, a long, b long, c long"), "tiles")
 
 
-SETS = arrow_schema(node=pa.int64(), n=pa.int64(), bits=pa.binary(), hashes=pa.binary())
+def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and text of the documents among ``nodes``. A filter of fixed size, one bit for a document,
+    keeps most others out before texts are shuffled; the join keeps out the rest."""
+    h = F.xxhash64("node")
+    at, shift = F.pmod(h, F.lit(FILTER_WORDS)), F.pmod(F.shiftright(h, 40), F.lit(64)).cast("int")
+    bits = nodes.select(at.alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), shift).alias("bit"))
+    bits = F.broadcast(bits.groupBy("at").agg(F.expr("bit_or(bit)").alias("bits")))  # at most FILTER_WORDS rows
+    given = texts(docs).withColumnRenamed("doc_id", "node").where("node is not null")
+    likely = given.withColumns({"at": at, "shift": shift}).join(bits, "at")
+    likely = likely.where(F.call_function("shiftrightunsigned", F.col("bits"), F.col("shift")).bitwiseAND(F.lit(1)) == 1)
+    return written(likely.select("node", "text").join(nodes, "node", "left_semi"), "texts")
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """The sets of documents: node, n, bits, hashes. Texts are read again; a filter of fixed size keeps
-    most documents out that aren't among ``nodes``, a join the others."""
-    h = F.xxhash64("node")
-    spots = nodes.select(
-        F.pmod(h, F.lit(FILTER_WORDS)).cast("int").alias("at"),
-        F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 40), F.lit(64)).cast("int")).alias("bit"),
-    )
-    spots = spots.groupBy("at").agg(F.expr("bit_or(bit)").alias("bits")).collect()  # at most FILTER_WORDS
-    words = np.zeros(FILTER_WORDS, np.int64)
-    for r in spots:
-        words[r["at"]] = r["bits"]
-    filled = docs.sparkSession.sparkContext.broadcast(words)
+def _set(text: str, size: int, memo: Memo) -> np.ndarray:
+    return shingles(words_of(text, lower=True), size, memo)
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, out = word_hashes(), Rows(SETS, most=1024)
-        for doc_id, text, at, bit in rows_of(batches, "doc_id", "text", "at", "bit"):
-            if int(filled.value[at]) >> bit & 1:
-                found = shingles(words_of(text, lower=True), size, memo)
-                if len(found):
-                    out.add(doc_id, len(found), bitmap(found).tobytes(), found.tobytes(), size=8 * len(found))
-                    if out.full():
-                        yield from out.take()
+
+SIGNED = arrow_schema(node=pa.int64(), n=pa.int64(), bits=pa.binary())
+
+
+def signed(known: DataFrame, size: int) -> DataFrame:
+    """Size and bitmap of documents' sets."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, out = word_hashes(), Rows(SIGNED)
+        for node, text in rows_of(batches, "node", "text"):
+            h = _set(text, size, memo)
+            if len(h):
+                out.add(node, len(h), bitmap(h).tobytes())
+                if out.full():
+                    yield from out.take()
         yield from out.take()
 
-    own = F.xxhash64("doc_id")
-    given = texts(docs).where("doc_id is not null").select(
-        "doc_id", "text", F.pmod(own, F.lit(FILTER_WORDS)).cast("int").alias("at"), F.pmod(F.shiftright(own, 40), F.lit(64)).cast("int").alias("bit")
-    )
-    return written(given.mapInArrow(make, "node long, n long, bits binary, hashes binary").join(nodes, "node", "left_semi"), "sets")
+    return known.select("node", "text").mapInArrow(sign, "node long, n long, bits binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
+def bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and bitmaps allow the similarity."""
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Rows(arrow_schema(a=pa.int64(), b=pa.int64()))
-        for a, b, na, nb, bits_a, bits_b, ha, hb in rows_of(batches, "a", "b", "na", "nb", "bits_a", "bits_b", "ha", "hb"):
-            if 100 * min(na, nb) < percent * max(na, nb):
-                continue
+        for a, b, na, nb, bits_a, bits_b in rows_of(batches, "a", "b", "na", "nb", "bits_a", "bits_b"):
             x, y = np.frombuffer(bits_a, "<u8"), np.frombuffer(bits_b, "<u8")
             words = min(len(x), len(y))
             apart = int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum())
-            if not similar((na + nb - apart) // 2, na, nb, percent):
-                continue
-            overlap = len(np.intersect1d(np.frombuffer(ha, np.uint64), np.frombuffer(hb, np.uint64), assume_unique=True))
-            if similar(overlap, na, nb, percent):
+            if 100 * min(na, nb) >= percent * max(na, nb) and similar((na + nb - apart) // 2, na, nb, percent):
                 out.add(a, b)
                 if out.full():
                     yield from out.take()
         yield from out.take()
 
-    def side(node: str, n: str, bits: str, hashes: str) -> DataFrame:
-        return sets.select(*(F.col(c).alias(x) for c, x in zip(("node", "n", "bits", "hashes"), (node, n, bits, hashes), strict=True)))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a")), "a")
+    both = both.join(sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b")), "b")
+    return both.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(bound, "a long, b long")
 
-    both = pairs.join(side("a", "na", "bits_a", "ha"), "a").join(side("b", "nb", "bits_b", "hb"), "b")
-    return both.select("a", "b", "na", "nb", "bits_a", "bits_b", "ha", "hb").mapInArrow(check, "a long, b long")
+
+def verified(pairs: DataFrame, sets: DataFrame, known: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar: by the bound first, exactly where that allows it.
+
+    ``sets`` has their sizes and bitmaps, ``known`` their texts: these are half as large as the sorted
+    arrays, which are made where the pairs meet."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, memo, recent = Rows(arrow_schema(a=pa.int64(), b=pa.int64())), word_hashes(), {}
+
+        def of(node: int, text: str) -> np.ndarray:
+            if (node, text) not in recent:
+                if len(recent) >= 64:
+                    recent.clear()
+                recent[node, text] = _set(text, size, memo)
+            return recent[node, text]
+
+        for a, b, text_a, text_b in rows_of(batches, "a", "b", "text_a", "text_b"):
+            x, y = of(a, text_a), of(b, text_b)
+            if len(x) and len(y) and similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent):
+                out.add(a, b)
+                if out.full():
+                    yield from out.take()
+        yield from out.take()
+
+    # Written down, few pairs are known to be few, and the texts needn't be shuffled.
+    pairs = written(bounded(pairs, sets, percent), "pairs")
+    both = pairs.join(known.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    both = both.join(known.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    return written(both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long"), "links")
 
 
 def across(tiles: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
@@ -333,33 +358,43 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     made = members(docs, size, percent)
     info = made.where("kind = 2").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("same"))
     tiles = made.where("kind = 1").select(F.col("a").alias("tile"), F.col("b").alias("node"), F.col("c").alias("pivot"))
-    sets = sets_of(docs, tiles.select("node").distinct(), size)
-    offered = tiles.where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("n"))
-    offered = written(offered, "offered")
+    known = texts_of(docs, tiles.select("node").distinct())
+    sets = written(signed(known, size), "sets")
+    offered = written(tiles.where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("n")), "offered")
 
     # First every document with the pivot that it shares most tiles with.
     best = offered.groupBy("node").agg(F.max(F.struct("n", (-F.col("pivot")).alias("pivot"))).alias("best"))
-    links = verified(best.select(F.col("node").alias("a"), (-F.col("best.pivot")).alias("b")), sets, percent)
+    links = verified(best.select(F.col("node").alias("a"), (-F.col("best.pivot")).alias("b")), sets, known, size, percent)
     equal = info.where("doc_id <> same").select(F.col("doc_id").alias("a"), F.col("same").alias("b"))
     found = components(links.unionByName(equal))
 
-    # Then the pivots of other components, then whatever else shares a tile across components.
-    def component(node: str) -> DataFrame:
-        return found.select(F.col("node").alias(node), F.col("component").alias(f"of_{node}"))
-
-    def current(rows: DataFrame, node: str) -> DataFrame:
-        return rows.join(component(node), node, "left").withColumn(f"of_{node}", F.coalesce(f"of_{node}", node))
-
-    rest = current(current(offered.select("node", "pivot"), "node"), "pivot").where("of_node <> of_pivot")
-    links = verified(rest.select(F.col("node").alias("a"), F.col("pivot").alias("b")), sets, percent)
-    found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
-
-    held = written(current(tiles.select("tile", "node").distinct(), "node").withColumnRenamed("of_node", "component"), "held")
-    mixed_tiles = held.groupBy("tile").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"))
-    # A tile of two has been compared: one of them is the pivot.
-    held = held.join(mixed_tiles.where("x <> y and n > 2").select("tile"), "tile", "left_semi")
-    links = verified(across(held, sets, percent), sets, percent)
-    found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+    def current(rows: DataFrame, node: str, found: DataFrame) -> DataFrame:
+        of = found.select(F.col("node").alias(node), F.col("component").alias(f"of_{node}"))
+        return rows.join(of, node, "left").withColumn(f"of_{node}", F.coalesce(f"of_{node}", node))
+
+    def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+        """Pairs of a document and a pivot that are not in one component yet."""
+        return current(current(pairs.select("node", "pivot"), "node", found), "pivot", found).where("of_node <> of_pivot").select("node", "pivot")
+
+    def joined(found: DataFrame, links: DataFrame) -> DataFrame:
+        if links.isEmpty():
+            return found
+        return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+
+    # Then the pivots of other components.
+    rest = written(apart(offered, found), "rest")
+    links = verified(rest.select(F.col("node").alias("a"), F.col("pivot").alias("b")), sets, known, size, percent)
+    found = joined(found, links)
+
+    # Then whatever else shares a tile across components. There is one where a pivot was refused; in a
+    # tile of two nothing is left to compare.
+    refused = written(apart(rest, found), "refused")
+    if not refused.isEmpty():
+        open_ = tiles.join(refused, ["node", "pivot"], "left_semi").select("tile").distinct()
+        held = tiles.join(open_, "tile", "left_semi").select("tile", "node").distinct()
+        large = held.groupBy("tile").agg(F.count("*").alias("n")).where("n > 2").select("tile")
+        held = written(current(held.join(large, "tile", "left_semi"), "node", found).withColumnRenamed("of_node", "component"), "held")
+        found = joined(found, verified(across(held, sets, percent), sets, known, size, percent))
     return info.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
     )

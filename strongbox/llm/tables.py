@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from strongbox.workspace import new_folder
 
+#: Whether Spark deletes the shuffle files of a query when it ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
@@ -19,10 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows, written to the session's shared folder and read from there: what follows starts from
-    files that outlive the executors which made them."""
+    files that outlive the executors which made them. The shuffle files of the writing job go."""
     spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
+    path, before = new_folder(spark, name), spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
