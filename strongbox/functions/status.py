@@ -69,11 +69,12 @@ def age_minutes(text: str | Column, as_of: Column) -> Column:
     return F.timestamp_diff("MINUTE", name_time(text), as_of)
 
 
-def backup_age_minutes(state: DataFrame, as_of: str, hosts: str = "host_id") -> DataFrame:
+def backup_age_minutes(state: DataFrame, as_of: str, hosts: str = "host_id", complete_only: bool = True) -> DataFrame:
     """Per host the last snapshot, increment and change log: what, how many files, how old.
 
     ``state`` holds one row per host and name. A time that is missing or unreadable gives the
-    name ``(null)``, and -1 for count and age.
+    name ``(null)``, and -1 for count and age; so does a snapshot whose status isn't complete, unless
+    ``complete_only`` is off.
     """
     names = [*SNAPSHOT_STATE, *SST_STATE, *CL_STATE]
     wide = state.groupBy(hosts).agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names])
@@ -87,6 +88,8 @@ def backup_age_minutes(state: DataFrame, as_of: str, hosts: str = "host_id") ->
     columns = []
     for kind, (text, time, files) in shown.items():
         age = age_minutes(time, now)
+        if kind == "snap" and complete_only:
+            age = F.when(F.col(snap_status) == "complete", age)
         known = age.isNotNull()
         unknown = F.lit(UNKNOWN_NUMBER).cast("bigint")
         columns += [

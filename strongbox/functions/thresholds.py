@@ -13,15 +13,14 @@ def _limit(value) -> Column:
 
 
 def classify(value: Column, warn, crit, *, low_is_bad: bool = False, negative_is_critical: bool = False) -> Column:
-    """The state of a reading; UNKNOWN where there is none."""
+    """The state of a reading; UNKNOWN where there is none, or no threshold to hold it against."""
     warn, crit = _limit(warn), _limit(crit)
     critical = value <= crit if low_is_bad else value >= crit
     warning = value <= warn if low_is_bad else value >= warn
     if negative_is_critical:
         critical = (value < 0) | critical
-    return (
-        F.when(value.isNull(), "UNKNOWN").when(critical, "CRITICAL").when(warning, "WARNING").otherwise("OK")
-    )
+    unknown = value.isNull() | warn.isNull() | crit.isNull()
+    return F.when(unknown, "UNKNOWN").when(critical, "CRITICAL").when(warning, "WARNING").otherwise("OK")
 
 
 def code(state: str | Column) -> Column:

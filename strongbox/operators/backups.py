@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strongbox.filesystem import resolve
+from strongbox.filesystem import qualified, resolve, within
 from strongbox.functions.keys import hash_part, metric_name, object_key, removable, snapshot_name
 from strongbox.operators.catalog import mark_copied
 from strongbox.operators.joins import SMALL_TABLE_ROWS, join_on
@@ -135,10 +135,12 @@ def prune_backed_up(files: DataFrame, manifest: DataFrame, key: str, path: str |
 def delete_files(files: DataFrame, path: str) -> DataFrame:
     """Deletes files and returns their paths. A file that is gone already is not an error."""
 
+    base = qualified("/")
+
     def delete(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for one in batch[path]:
-                store, inner = resolve(one)
+                store, inner = resolve(within(base, one))
                 try:
                     store.delete_file(inner)
                 except FileNotFoundError:

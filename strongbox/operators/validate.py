@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from strongbox.functions.keys import metric_name, parse_object_key, present, removable
 from strongbox.schemas import DENIED_TABLES
 
-LISTED_KEYSPACES = 10_000
+SHARES = 64
 
 
 def drop_denied_tables(files: DataFrame, denied: Mapping[str, Sequence[str] | None] = DENIED_TABLES) -> DataFrame:
@@ -62,19 +62,12 @@ def check_restore_scope(objects: DataFrame, keyspace: str, host: str) -> DataFra
 
 def expand_keyspaces(requests: DataFrame, keyspaces: DataFrame) -> DataFrame:
     """A request for ``*`` becomes one request per known keyspace, others stay as they are."""
-    known = keyspaces.select("keyspace").distinct()
-    listed = [r.keyspace for r in known.limit(LISTED_KEYSPACES + 1).collect()]
-    if len(listed) <= LISTED_KEYSPACES:
-        every = F.array(*[F.lit(k) for k in sorted(listed)]).cast("array<string>")
-        wanted = F.when(F.col("keyspace") == "*", every).otherwise(F.array("keyspace"))
-        return requests.withColumn("keyspace", F.explode(wanted))
-    # A list too long for an expression: each request meets each share of it in its own task.
-    shares = -(-known.count() // LISTED_KEYSPACES) * 8
-    spread = known.withColumn("_share", F.pmod(F.xxhash64("keyspace"), F.lit(shares)))
+    # Each request meets each share of the keyspaces; the planner broadcasts whichever side is small.
+    known = keyspaces.select("keyspace").distinct().withColumn("_share", F.pmod(F.xxhash64("keyspace"), F.lit(SHARES)))
     stars = requests.where(F.col("keyspace") == "*").drop("keyspace")
-    stars = stars.withColumn("_share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shares - 1).cast("bigint"))))
+    stars = stars.withColumn("_share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SHARES - 1).cast("bigint"))))
     others = requests.where(~F.col("keyspace").eqNullSafe("*"))
-    return others.unionByName(stars.join(spread, "_share").select(*requests.columns))
+    return others.unionByName(stars.join(known, "_share").select(*requests.columns))
 
 
 def default_host(requests: DataFrame, local_host: str) -> DataFrame:

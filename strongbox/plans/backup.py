@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strongbox.filesystem import children, exists
+from strongbox.filesystem import exists, folders
 from strongbox.operators.joins import join_on
 from strongbox.schemas import BACKUP_PARTITIONS, SNAP, SST, UNKNOWN_NUMBER
 from strongbox.sources.files import read_backup, table_folder
@@ -18,12 +18,17 @@ ROWS_PER_FILE = 5_000_000
 TABLES_AT_A_TIME = 4
 
 
-def _write(rows: DataFrame, backup: str, compression: str | None, **parts: str) -> str:
+def complete(backup: str, **parts: str) -> bool:
+    """Whether the copy of a table was written to its end: Spark marks the folder then."""
+    return exists(f"{table_folder(backup, **parts)}/_SUCCESS")
+
+
+def _write(rows: DataFrame, backup: str, compression: str | None, mode: str, **parts: str) -> str:
     """Writes to the folder of one partition: backups of other tables may run at the same time."""
     clash = set(BACKUP_PARTITIONS) & set(rows.columns)
     if clash:
         raise ValueError(f"columns named like backup partitions: {sorted(clash)}")
-    folder, writer = table_folder(backup, **parts), rows.write.mode("append")
+    folder, writer = table_folder(backup, **parts), rows.write.mode(mode)
     if compression:
         writer = writer.option("compression", compression)
     writer.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(folder)
@@ -35,12 +40,13 @@ def snapshot_backup(
 ) -> DataFrame:
     """Copies a whole table under a new snapshot name and returns the manifest of the copy.
 
-    Tasks copy their own input: there is no shuffle. A name that exists already is an error.
+    Tasks copy their own input: there is no shuffle. A name that exists already is an error, but
+    what a failed copy left behind is replaced.
     """
     spark, parts = rows.sparkSession, {"snapshot": snapshot, "backup_type": SNAP, "keyspace": keyspace, "table": table}
-    if exists(table_folder(backup, **parts)):
+    if complete(backup, **parts):
         raise FileExistsError(f"snapshot {snapshot} of {keyspace}.{table} exists")
-    _write(rows, backup, compression, **parts)
+    _write(rows, backup, compression, "overwrite", **parts)
     return backup_manifest(spark, backup, **parts)
 
 
@@ -84,16 +90,15 @@ def incremental_backup(
     written = new_folder(spark, "new-keys")
     new.distinct().write.parquet(written)
     found = spark.read.schema(new.schema).parquet(written)
-    _write(join_on(rows, found, names, "left_semi"), backup, compression, backup_type=SST, **parts)
+    _write(join_on(rows, found, names, "left_semi"), backup, compression, "append", backup_type=SST, **parts)
     return backup_manifest(spark, backup, backup_type=SST, **parts)
 
 
 def last_snapshot(backup: str, keyspace: str, table: str) -> str | None:
-    """The name of the newest snapshot of a table, from the names of the folders alone."""
-    folders = [path.rsplit("/", 1)[-1] for path, is_folder, *_ in children(backup) if is_folder]
-    names = [unquote(f.removeprefix("snapshot=")) for f in folders if f.startswith("snapshot=")]
-    held = [n for n in names if exists(table_folder(backup, snapshot=n, backup_type=SNAP, keyspace=keyspace, table=table))]
-    return max(held, default=None)
+    """The name of the newest complete snapshot of a table, from the names of the folders alone."""
+    found = [path.rsplit("/", 1)[-1] for path in folders(backup)]
+    names = sorted((unquote(f.removeprefix("snapshot=")) for f in found if f.startswith("snapshot=")), reverse=True)
+    return next((n for n in names if complete(backup, snapshot=n, backup_type=SNAP, keyspace=keyspace, table=table)), None)
 
 
 def backup_manifest(spark: SparkSession, backup: str, **parts: str | Sequence[str]) -> DataFrame:

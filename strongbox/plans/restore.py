@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from strongbox.operators.joins import join_on
 from strongbox.operators.state import last_version
+from strongbox.plans.backup import complete
 from strongbox.schemas import BACKUP_PARTITIONS, SNAP, SST
 from strongbox.sources.files import read_backup
 
@@ -31,12 +32,15 @@ def restore_backup(
     Snapshot and increments are read from their partitions only. With ``keys`` and ``version``
     the last version of every key is kept, without them all rows. ``one_row_per_key`` states that
     the snapshot holds no key twice, as for a table with a primary key: then snapshot rows that no
-    increment touches pass through without being grouped. ``dest`` must not exist.
+    increment touches pass through without being grouped. ``dest`` must not exist. A snapshot that is
+    absent, or was not written to its end, is an error.
     """
     for name, value in {"snapshot": snapshot, "keyspace": keyspace, "table": table}.items():
         if not (value or "").strip():
             raise ValueError(f"a restore needs a {name}")
     parts = {"snapshot": snapshot, "keyspace": keyspace, "table": table}
+    if not complete(backup, backup_type=SNAP, **parts):
+        raise FileNotFoundError(f"no complete snapshot {snapshot} of {keyspace}.{table} in {backup}")
 
     def read(*backup_types: str) -> DataFrame:
         return read_backup(spark, backup, schema, backup_type=list(backup_types), **parts).drop(*BACKUP_PARTITIONS)

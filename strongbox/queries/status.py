@@ -58,7 +58,7 @@ with last_writes as (select host_id, name, value from
     max(value) filter (where name = 'last_snapshot_filecount') as snap_files, max(value) filter (where name = 'last_sst_name') as sst,
     max(value) filter (where name = 'last_sst_filecount') as sst_files, max(value) filter (where name = 'last_cl_name') as cl,
     max(value) filter (where name = 'last_cl_filecount') as cl_files from last_writes group by host_id),
-  timed as (select *, date_sub('minute', try_strptime(snap, '%Y-%m-%d-%H:%M:%S'), timestamp '{AS_OF}') as snap_age,
+  timed as (select *, case when snap_status = 'complete' then date_sub('minute', try_strptime(snap, '%Y-%m-%d-%H:%M:%S'), timestamp '{AS_OF}') end as snap_age,
     date_sub('minute', try_strptime(split_part(sst, '/', 2), '%Y-%m-%d-%H:%M:%S'), timestamp '{AS_OF}') as sst_age,
     date_sub('minute', try_strptime(split_part(cl, '/', 2), '%Y-%m-%d-%H:%M:%S'), timestamp '{AS_OF}') as cl_age from wide),
   ages as (select host_id,
@@ -172,16 +172,16 @@ def cluster_status(spark, sf_dir):
 
 @query(
     "check_live_nodes",
-    FLEET + """, thresholds as (select r_name as dc, cast(12 + r_regionkey as bigint) as warn, cast(8 + r_regionkey as bigint) as crit from region)
-    select dc, live_nodes, case when live_nodes <= crit then 'CRITICAL' when live_nodes <= warn then 'WARNING' else 'OK' end as state,
-      cast(case when live_nodes <= crit then 2 when live_nodes <= warn then 1 else 0 end as bigint) as code,
-      case when live_nodes <= crit then 'CRITICAL: live nodes count: ' || live_nodes || '/' || crit
+    FLEET + """, thresholds as (select r_name as dc, cast(12 + r_regionkey as bigint) as warn, cast(8 + r_regionkey as bigint) as crit from region where r_regionkey <> 4)
+    select dc, live_nodes, case when crit is null then 'UNKNOWN' when live_nodes <= crit then 'CRITICAL' when live_nodes <= warn then 'WARNING' else 'OK' end as state,
+      cast(case when crit is null then 3 when live_nodes <= crit then 2 when live_nodes <= warn then 1 else 0 end as bigint) as code,
+      case when crit is null then 'UNKNOWN: live nodes count' when live_nodes <= crit then 'CRITICAL: live nodes count: ' || live_nodes || '/' || crit
         when live_nodes <= warn then 'WARNING: live nodes count: ' || live_nodes || '/' || warn
-        else 'OK: live nodes count: ' || live_nodes || '/' || warn end as message from by_dc join thresholds using (dc)""",
+        else 'OK: live nodes count: ' || live_nodes || '/' || warn end as message from by_dc left join thresholds using (dc)""",
     ["v_nodes", "v_service_state"],
 )
 def check_live_nodes(spark, sf_dir):
-    regions = table(spark, sf_dir, "region")
+    regions = table(spark, sf_dir, "region").where("r_regionkey <> 4")  # one without thresholds
     thresholds = regions.select(
         F.col("r_name").alias("dc"), (F.col("r_regionkey") + 12).cast("bigint").alias("warn"), (F.col("r_regionkey") + 8).cast("bigint").alias("crit")
     )

@@ -1,5 +1,6 @@
 """Backups, restores, bulk loads, archives and streams: queries that write and read back."""
 
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from strongbox.plans import backup, restore
@@ -197,13 +198,47 @@ def overlay_members(spark, sf_dir):
     return archives.overlay_members(members)
 
 
-@query("change_log_backup", f"select *, '{SNAPSHOT}' as snapshot, 'CL' as backup_type from events")
+@query("change_log_backup", f"select *, '{SNAPSHOT}' as snapshot, 'CL' as backup_type, 'changes' as keyspace, 'log' as \"table\" from events")
 def change_log_backup(spark, sf_dir):
     folder = new_folder(spark, "change-log")
     changes = stream(spark, sf_dir, "events")
     jobs.change_log_backup(changes, f"{folder}/backup", f"{folder}/checkpoint", SNAPSHOT).awaitTermination()
-    schema = changes.schema.add("snapshot", "string").add("backup_type", "string")
-    return spark.read.schema(schema).parquet(f"{folder}/backup")
+    return files.read_backup(spark, f"{folder}/backup", changes.schema, snapshot=SNAPSHOT, backup_type="CL")
+
+
+@query(
+    "mixed_backup",
+    VERSIONS + """select backup_type, keyspace, "table", count(*) as n_rows, cast(sum(o_orderkey) as bigint) as keys from placed group by all
+      union all select 'CL', 'changes', 'log', count(*), cast(sum(event_id) as bigint) from events""",
+)
+def mixed_backup(spark, sf_dir):
+    """A snapshot, an increment and a change log below one root, each read back."""
+    folder, schema = _backed_up(spark, sf_dir)
+    changes = stream(spark, sf_dir, "events")
+    jobs.change_log_backup(changes, folder, new_folder(spark, "checkpoint"), SNAPSHOT).awaitTermination()
+    manifest = backup.backup_manifest(spark, folder).groupBy("backup_type", "keyspace", "table").agg(F.sum("n_rows").alias("n_rows"))
+    orders = files.read_backup(spark, folder, schema, backup_type=["SNAP", "SST"]).withColumnRenamed("o_orderkey", "key")
+    events = files.read_backup(spark, folder, changes.schema, backup_type="CL").withColumnRenamed("event_id", "key")
+    rows = orders.select("backup_type", "key").unionByName(events.select("backup_type", "key"))
+    return manifest.join(rows.groupBy("backup_type").agg(F.sum("key").alias("keys")), "backup_type").select(
+        "backup_type", "keyspace", "table", "n_rows", "keys"
+    )
+
+
+@query("restore_after_failed_copy", "select *, cast(1 as bigint) as version from orders")
+def restore_after_failed_copy(spark, sf_dir):
+    """A copy fails half way; it is no snapshot, can't be restored, and is replaced by the next."""
+    folder, rows = new_folder(spark, "backup"), _first_version(spark, sf_dir)
+    broken = rows.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 1000 == 7, F.raise_error(F.lit("unreadable"))).otherwise(F.col("o_totalprice")))
+    part = {"snapshot": SNAPSHOT, "keyspace": KEYSPACE, "table": "orders"}
+    for attempt in (lambda: backup.snapshot_backup(broken, folder, **part), lambda: restore.restore_backup(spark, folder, rows.schema, **part)):
+        try:
+            attempt()
+        except (PySparkException, FileNotFoundError):
+            continue
+        raise AssertionError("a failed copy passed for a snapshot")
+    backup.snapshot_backup(rows, folder, **part)
+    return restore.restore_backup(spark, folder, rows.schema, **part)
 
 
 @query(

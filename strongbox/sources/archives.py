@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strongbox.filesystem import resolve
+from strongbox.filesystem import qualified, resolve, within
 from strongbox.functions.keys import archive_id, hash_part
 from strongbox.operators.joins import join_on
 from strongbox.schemas import MB, MEMBERS
@@ -53,7 +53,7 @@ def pack_archives(
     An archive gets its final name once it is complete, and the same one when a task is retried.
     The manifest (archive, member, length, sha256) is kept in ``dest/_manifest``.
     """
-    spark = files.sparkSession
+    spark, dest, base = files.sparkSession, qualified(dest), qualified("/")
     packed = with_packs(files, group, pack_bytes, pack_files)
     named = packed.withColumn(
         "archive", F.concat(F.lit("compressed-"), archive_id(*group, "pack_no"), F.lit(".tar.gz"))
@@ -71,6 +71,7 @@ def pack_archives(
                         if writer:
                             writer.close()
                         current, writer = archive, _ArchiveWriter(dest, archive, gzip_level)
+                    value = within(base, value) if source == "path" else value
                     rows.append((archive, member, *writer.add(member, value, source == "path")))
                 yield pd.DataFrame(rows, columns=schema.names)
             if writer:
@@ -149,6 +150,7 @@ def unpack_archives(spark: SparkSession, archives: str, dest: str | None = None)
     """
     listed = list_files(spark.createDataFrame([(archives,)], "path string"))
     found = listed.where(F.col("path").endswith(".tar.gz")).select("path")
+    dest = qualified(dest) if dest else None
     spread = found.repartition(max(spark.sparkContext.defaultParallelism, 1), "path")
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

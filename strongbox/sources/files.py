@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strongbox.filesystem import children, exists, resolve
+from strongbox.filesystem import children, exists, folders as folders_in, qualified, resolve, within
 from strongbox.schemas import BACKUP_PARTITIONS, with_partitions
 
 
@@ -26,12 +26,12 @@ def list_files(folders: DataFrame) -> DataFrame:
     """
     others = [c for c in folders.columns if c != "path"]
     schema = T.StructType([folders.schema[c] for c in others] + T.StructType.fromDDL(LISTING).fields)
-    names = schema.names
+    names, base = schema.names, qualified("/")
 
     def look(batches: Iterator[pd.DataFrame], deep: bool) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch[[*others, "path"]].itertuples(index=False, name=None):
-                pending = [row[-1]]
+                pending = [within(base, row[-1])]
                 while pending:
                     found = children(pending.pop())
                     if deep:
@@ -59,10 +59,9 @@ def list_table_files(spark: SparkSession, roots: Sequence[str], keyspace: str |
     tables = [
         (_name(space), _name(table), table)
         for root in roots
-        for space, is_folder, *_ in children(root)
-        if is_folder and keyspace in (None, _name(space))
-        for table, is_table, *_ in children(space)
-        if is_table
+        for space in folders_in(root)
+        if keyspace in (None, _name(space))
+        for table in folders_in(space)
     ]
     return list_files(spark.createDataFrame(tables, "keyspace string, `table` string, path string"))
 
@@ -106,13 +105,13 @@ def read_backup(spark: SparkSession, backup: str, schema: T.StructType, **parts:
 
 def read_backup_objects(objects: DataFrame) -> DataFrame:
     """Adds the ``content`` of opaque objects (``path``); every task opens its own share of them."""
-    schema = T.StructType(objects.schema.fields + [T.StructField("content", T.BinaryType())])
+    schema, base = T.StructType(objects.schema.fields + [T.StructField("content", T.BinaryType())]), qualified("/")
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for i in range(len(batch)):
                 one = batch.iloc[i : i + 1]
-                store, inner = resolve(one["path"].iloc[0])
+                store, inner = resolve(within(base, one["path"].iloc[0]))
                 with store.open_input_stream(inner, compression=None) as stream:
                     yield one.assign(content=[stream.read()])
 

@@ -10,34 +10,38 @@ from strongbox.operators.runs import admit_exclusive, lock_class
 from strongbox.operators.state import upsert_state
 from strongbox.operators.transfer import throttle_progress
 from strongbox.schemas import CL, PROGRESS_INTERVAL_MS
+from strongbox.sources.files import table_folder
 from strongbox.streaming.versioned import VersionedState
 
 ONCE = {"availableNow": True}
 
 
-def change_log_backup(stream: DataFrame, backup: str, checkpoint: str, snapshot: str, trigger: dict | None = None) -> StreamingQuery:
-    """Copies a change log below the last snapshot. Each change is copied once; the source stays."""
+def change_log_backup(
+    stream: DataFrame, backup: str, checkpoint: str, snapshot: str, keyspace: str = "changes", table: str = "log", trigger: dict | None = None
+) -> StreamingQuery:
+    """Copies a change log below the last snapshot. Each change is copied once; the source stays.
+
+    The copy is a partition like any other of the backup. A micro-batch has a folder of its own in it
+    and replaces that if it is repeated; the stream keeps its own records at ``checkpoint`` only.
+    """
     if not (snapshot or "").strip():
         raise ValueError("take a snapshot before a change-log backup")
-    tagged = stream.withColumns({"snapshot": F.lit(snapshot), "backup_type": F.lit(CL)})
-    return (
-        tagged.writeStream.format("parquet").outputMode("append")
-        .partitionBy("snapshot", "backup_type")
-        .option("checkpointLocation", checkpoint).option("path", backup)
-        .trigger(**(trigger or ONCE)).start()
-    )
+    folder = table_folder(backup, snapshot=snapshot, backup_type=CL, keyspace=keyspace, table=table)
 
+    def copy(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch-{n:09d}")
 
-def stream_counters(
-    stream: DataFrame, folder: str, window: str = "1 hour", late: str = "1 day", trigger: dict | None = None
-) -> StreamingQuery:
+    return stream.writeStream.foreachBatch(copy).option("checkpointLocation", checkpoint).trigger(**(trigger or ONCE)).start()
+
+
+def stream_counters(stream: DataFrame, folder: str, window: str = "1 hour", trigger: dict | None = None) -> StreamingQuery:
     """Count, sum and largest value of each metric and window, as they change.
 
-    ``stream`` has ts, name and value. A window is closed once the stream is ``late`` past it.
+    ``stream`` has ts, name and value, in any order: no point is too late, so windows stay open.
     Each batch puts out the windows it changed; ``latest_counters`` reads the last of each.
     """
     counters = (
-        stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+        stream.withColumn("ts", F.col("ts").cast("timestamp"))
         .groupBy(F.window("ts", window).alias("w"), "name")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.max("value").alias("largest"))
     ).select(F.col("w.start").alias("window_start"), "name", "n", "total", "largest")

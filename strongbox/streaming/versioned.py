@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from strongbox.filesystem import children, delete_folder
+from strongbox.filesystem import delete_folder, folders
 
 Emit = Callable[[DataFrame, DataFrame], DataFrame]  # batch, state before -> output
 Carry = Callable[[DataFrame, DataFrame, DataFrame], DataFrame]  # batch, state before, output -> state after
@@ -49,7 +49,7 @@ class VersionedState:
 
     def last(self, spark: SparkSession) -> DataFrame:
         """The state after the last batch: the newest of the two versions that are kept."""
-        kept = [int(p.rsplit("=", 1)[1]) for p, is_folder, *_ in children(f"{self.folder}/state") if is_folder]
+        kept = [int(p.rsplit("=", 1)[1]) for p in folders(f"{self.folder}/state")]
         return self.version(spark, max(kept, default=-1))
 
     def output(self, spark: SparkSession, schema: T.StructType) -> DataFrame:

@@ -183,3 +183,46 @@ def test_packs_of_a_hot_group(spark, sf, tmp_path):
     again = archives.pack_archives(listed, ["keyspace", "table"], str(tmp_path / "packs"), pack_bytes=200_000)
     assert content(again) == content(unpacked.select(*columns))
     assert not [p for p in (tmp_path / "packs").iterdir() if p.name.startswith("_compressed")]
+
+
+def test_a_failed_copy_is_no_snapshot(spark, orders, tmp_path):
+    place, part = str(tmp_path / "b"), PART
+    broken = orders.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 100 == 7, F.raise_error(F.lit("no"))).otherwise(1.0))
+    with pytest.raises(PySparkException):
+        backup.snapshot_backup(broken, place, **part)
+    assert backup.last_snapshot(place, "007", "orders") is None
+    with pytest.raises(FileNotFoundError, match="no complete snapshot"):
+        restore.restore_backup(spark, place, orders.schema, **part)
+    with pytest.raises(ValueError):
+        backup.incremental_backup(orders, place, "007", "orders", ["o_orderkey"], "version")
+    backup.snapshot_backup(orders, place, **part)
+    assert content(restore.restore_backup(spark, place, orders.schema, **part)) == content(orders)
+    with pytest.raises(FileNotFoundError):
+        restore.restore_backup(spark, place, orders.schema, snapshot="never", keyspace="007", table="orders")
+
+
+def test_change_logs_leave_snapshots_readable(spark, sf, orders, tmp_path):
+    from strongbox.queries.registry import stream
+    from strongbox.streaming import jobs
+
+    place = str(tmp_path / "b")
+    backup.snapshot_backup(orders, place, **PART)
+    for _ in range(2):  # the second run has nothing left to copy
+        changes = stream(spark, sf, "events")
+        jobs.change_log_backup(changes, place, str(tmp_path / "c"), PART["snapshot"]).awaitTermination()
+    assert files.read_backup(spark, place, orders.schema, backup_type="SNAP").count() == orders.count()
+    assert files.read_backup(spark, place, changes.schema, snapshot=PART["snapshot"], backup_type="CL").count() == table(spark, sf, "events").count()
+    assert {r.backup_type for r in backup.backup_manifest(spark, place).collect()} == {"SNAP", "CL"}
+
+
+def test_paths_mean_what_they_mean_to_spark(spark, tmp_path):
+    from strongbox import filesystem
+
+    spark.range(3).write.parquet(str(tmp_path / "t"))
+    for path in (f"{tmp_path}/t", f"file:{tmp_path}/t", f"file://{tmp_path}/t"):
+        assert filesystem.exists(path) and filesystem.qualified(path) == f"file:{tmp_path}/t"
+    assert filesystem.folders(str(tmp_path)) == [f"file:{tmp_path}/t"] and filesystem.folders(f"{tmp_path}/none") == []
+    for path in ("/x", "hdfs:/x", "dbfs:/x"):
+        with pytest.raises(ValueError, match="URI"):
+            filesystem.resolve(path)
+    assert filesystem.within("hdfs://n:1/", "/x") == "hdfs://n:1/x" and filesystem.within("hdfs://n:1/", "s3://b/x") == "s3://b/x"

@@ -79,7 +79,7 @@ def test_unknown_backup_type(spark):
 
 
 def test_long_keyspace_list(spark, monkeypatch):
-    monkeypatch.setattr(validate, "LISTED_KEYSPACES", 3)
+    monkeypatch.setattr(validate, "SHARES", 3)
     known = spark.createDataFrame([(f"k{i}",) for i in range(20)], "keyspace string")
     requests = spark.createDataFrame([(1, "*"), (2, "k1"), (3, "other"), (4, None)], "id int, keyspace string")
     expected = [(1, f"k{i}") for i in range(20)] + [(2, "k1"), (3, "other"), (4, None)]
@@ -190,3 +190,19 @@ def test_thresholds(spark):
         (1, "WARNING: heap_usage_perc: 79/50"), (2, "CRITICAL: heap_usage_perc: 80/80")]
     tables = spark.createDataFrame([("", "t", 9.0), ("k", " ", 9.0), ("k", "t", None), ("k", "t", 9.0)], "keyspace string, cf string, WriteLatency_mean double")
     assert [r.code for r in checks.check_write_latency(tables, 5, 8).collect()] == [3, 3, 3, 2]
+
+
+def test_no_threshold_is_unknown(spark):
+    rows = spark.createDataFrame([(1, 5, 3, 5.0, 5, "k", "c")], "live_nodes bigint, last_sst_backup_age_mins bigint, last_snap_backup_age_mins bigint, heap_usage_perc double, last_cl_backup_age_mins bigint, keyspace string, cf string")
+    rows = rows.withColumns({"WriteLatency_mean": F.lit(1.0), "ReadLatency_mean": F.lit(1.0), "low": F.lit(None).cast("bigint"), "high": F.lit(9).cast("bigint")})
+    for check in (checks.check_live_nodes, checks.check_sst_backup_age, checks.check_snap_backup_age, checks.check_cl_backup_age,
+                  checks.check_heap_usage, checks.check_write_latency, checks.check_read_latency):
+        for warn, crit in (("low", "high"), ("high", "low")):
+            row = check(rows, warn, crit).first()
+            assert (row.state, row.code) == ("UNKNOWN", 3) and row.message.startswith("UNKNOWN: ")
+
+
+def test_unfinished_snapshots_have_no_age(spark):
+    rows = spark.createDataFrame([("a", "last_snapshot_name", "2024-01-01-00:00:00"), ("a", "last_snapshot_status", "inprogress")], "host_id string, name string, value string")
+    shown = [status.backup_age_minutes(rows, "2024-01-01 00:02:00", complete_only=c).first().last_snap_backup_age_mins for c in (True, False)]
+    assert shown == [-1, 2]

@@ -1,6 +1,7 @@
 """Streams over several files, and over a restart, give what one batch gives."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from strongbox.operators import runs, state, transfer
 from strongbox.queries.registry import stream_view, table, view
@@ -90,3 +91,22 @@ def test_counters_and_change_log(spark, sf, tmp_path, parts):
     assert rows_of(copied.select("snapshot", "backup_type").distinct()) == [("s1", "CL")]
     with pytest.raises(ValueError):
         jobs.change_log_backup(points(), "x", "y", " ")
+
+
+def test_counters_in_any_order(spark, sf, tmp_path, parts):
+    """The newest file first, one file a batch: no point is too late."""
+    for i in reversed(range(FILES)):
+        parts(i)
+        points = stream_view_of(spark, tmp_path)
+        jobs.stream_counters(points, str(tmp_path / "out")).awaitTermination()
+    events = table(spark, sf, "events")
+    found = jobs.latest_counters(spark, str(tmp_path / "out"))
+    assert found.agg(F.sum("n")).first()[0] == events.count()
+    hours = events.groupBy(F.date_trunc("hour", "ts").alias("h"), "event_type").count()
+    assert found.count() == hours.count()
+
+
+def stream_view_of(spark, folder):
+    from strongbox.queries.registry import stream
+
+    return stream(spark, str(folder), "events").select("ts", F.col("event_type").alias("name"), "value")
