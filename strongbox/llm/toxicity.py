@@ -28,7 +28,10 @@ from strongbox.llm.tables import Rows, arrow_schema, held_out, is_held_out, rows
 from strongbox.llm.words import Memo
 
 SAMPLE, CALIBRATION = 2000, 500
-TERMS, LEAST_EXAMPLES, LEAST_CHI = 4096, 5, 40.0
+TERMS, LEAST_EXAMPLES = 4096, 5
+#: Least chi square of a term, and least share of it in the number of examples: copies of a toxic text
+#: must not make terms of all its words.
+LEAST_CHI, LEAST_SHARE = 10.0, 0.02
 NEIGHBOURS, BLOCK = 15, 512
 #: Added to the weight of all votes: distant examples alone don't decide.
 DOUBT = 0.1
@@ -168,7 +171,7 @@ def vocabulary_of(examples: DataFrame, terms: int) -> list[str]:
     chi = n * (a * d - b * c) ** 2 / ((a + b) * (c + d) * of[0] * of[1])
     counted = examples.select("text", "label").mapInArrow(count, "term string, bad long, good long")
     counted = counted.groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    chosen = counted.where((a + b >= LEAST_EXAMPLES) & (c + d > 0) & (a * d > b * c)).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI)
+    chosen = counted.where((a + b >= LEAST_EXAMPLES) & (c + d > 0) & (a * d > b * c)).withColumn("chi", chi).where(F.col("chi") >= max(LEAST_CHI, LEAST_SHARE * n))
     return sorted(r["term"] for r in chosen.orderBy(F.desc("chi"), "term").limit(terms).select("term").collect())
 
 
