@@ -33,6 +33,8 @@ from strongbox.llm.words import MIX2, Memo, mixed, shingles, word_hashes, words_
 SLACK = 2
 #: Sets compared with each other at once.
 BLOCK = 1024
+#: So many of its tiles a node carries along there.
+LEAST_TILES = 8
 #: A filter of so many 64-bit words tells which documents are needed again; it is broadcast.
 FILTER_WORDS = 1 << 17
 
@@ -88,9 +90,9 @@ def signatures(h: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def bitmap(h: np.ndarray) -> np.ndarray:
-    """Parities of the set's elements in as many slots as half its size, a power of two from 64 on."""
+    """Parities of the set's elements in at least as many slots, a power of two from 64 on."""
     bits = 64
-    while 2 * bits < len(h):
+    while bits < len(h):
         bits *= 2
     slot = (mixed(h ^ MIX2) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(slot, minlength=bits) & 1).astype(np.uint8), bitorder="little").view("<u8")
@@ -300,14 +302,17 @@ def across(tiles: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK)
     """Pairs (a, b) of different components in a tile whose bitmaps allow the similarity.
 
     ``tiles`` has rows (tile, node, component). Large tiles are compared in blocks, each pair of blocks
-    in a place of its own."""
+    in a place of its own. A pair that shares several tiles is given out in the smallest of them: each
+    node carries its smallest tiles along. (Where these don't tell, it is given out again.)"""
     sizes = tiles.groupBy("tile").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = tiles.join(sizes, "tile").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.join(sets.select("node", "n", "bits"), "node").select(
-        F.col("tile"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n", "bits"
+    # A node has no more tiles than its text has words.
+    least = tiles.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("tile")), 1, LEAST_TILES).alias("least"))
+    dealt = dealt.join(sets.select("node", "n", "bits").join(least, "node"), "node").select(
+        F.col("tile"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n", "bits", "least"
     )
-    columns = ("tile", "i", "j", "own", "node", "component", "n", "bits")
+    columns = ("tile", "i", "j", "own", "node", "component", "n", "bits", "least")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Rows(arrow_schema(a=pa.int64(), b=pa.int64()))
@@ -317,6 +322,9 @@ def across(tiles: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK)
             maps = [np.frombuffer(r[4], "<u8") for r in rows]
             words = min(map(len, maps))
             bits = np.stack([folded(x, words) for x in maps])
+            none = np.iinfo(np.int64).max
+            least = np.array([r[5] + [none] * (LEAST_TILES - len(r[5])) for r in rows], np.int64)
+            earlier = least < key[0]
             for at in range(len(rows)):
                 later = slice(at + 1, None)
                 apart = np.bitwise_count(bits[later] ^ bits[at]).sum(1, dtype=np.int64)
@@ -325,18 +333,20 @@ def across(tiles: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK)
                 fits &= similar((n[later] + n[at] - apart) // 2, n[later], n[at], percent)
                 if key[1] != key[2]:
                     fits &= own[later] != own[at]
-                for b in node[later][fits]:
+                found = np.flatnonzero(fits) + at + 1
+                shared = (least[found][:, :, None] == least[at][earlier[at]][None, None, :]) & earlier[found][:, :, None]
+                for b in node[found[~shared.any((1, 2))]]:
                     out.add(int(min(b, node[at])), int(max(b, node[at])))
 
         key, rows = None, []
-        for *now, own, node, component, n, bits in rows_of(batches, *columns):
+        for *now, own, node, component, n, bits, least in rows_of(batches, *columns):
             if now != key:
                 if len(rows) > 1:
                     close(key, rows)
                     if out.full():
                         yield from out.take()
                 key, rows = now, []
-            rows.append((own, node, component, n, bits))
+            rows.append((own, node, component, n, bits, least))
         if len(rows) > 1:
             close(key, rows)
         yield from out.take()
