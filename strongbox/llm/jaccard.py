@@ -382,28 +382,26 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
         of = found.select(F.col("node").alias(node), F.col("component").alias(f"of_{node}"))
         return rows.join(of, node, "left").withColumn(f"of_{node}", F.coalesce(f"of_{node}", node))
 
-    def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
-        """Pairs of a document and a pivot that are not in one component yet."""
-        return current(current(pairs.select("node", "pivot"), "node", found), "pivot", found).where("of_node <> of_pivot").select("node", "pivot")
+    def apart(found: DataFrame) -> DataFrame:
+        """Offered pairs of a document and a pivot that are not in one component."""
+        return current(current(offered, "node", found), "pivot", found).where("of_node <> of_pivot")
 
     def joined(found: DataFrame, links: DataFrame) -> DataFrame:
         if links.isEmpty():
             return found
         return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
 
-    # Then the pivots of other components.
-    rest = written(apart(offered, found), "rest")
-    links = verified(rest.select(F.col("node").alias("a"), F.col("pivot").alias("b")), sets, known, size, percent)
+    # Then, for each other component that has pivots of its, the one that it shares most tiles with.
+    rest = apart(found).groupBy("node", "of_pivot").agg(F.max(F.struct("n", (-F.col("pivot")).alias("pivot"))).alias("best"))
+    links = verified(rest.select(F.col("node").alias("a"), (-F.col("best.pivot")).alias("b")), sets, known, size, percent)
     found = joined(found, links)
 
-    # Then whatever else shares a tile across components. There is one where a pivot was refused; in a
-    # tile of two nothing is left to compare.
-    refused = written(apart(rest, found), "refused")
+    # Then whatever else shares a tile across components. Such a tile has a pivot of another component.
+    refused = written(apart(found).select("node", "pivot"), "refused")
     if not refused.isEmpty():
         open_ = tiles.join(refused, ["node", "pivot"], "left_semi").select("tile").distinct()
         held = tiles.join(open_, "tile", "left_semi").select("tile", "node").distinct()
-        large = held.groupBy("tile").agg(F.count("*").alias("n")).where("n > 2").select("tile")
-        held = written(current(held.join(large, "tile", "left_semi"), "node", found).withColumnRenamed("of_node", "component"), "held")
+        held = written(current(held, "node", found).withColumnRenamed("of_node", "component"), "held")
         found = joined(found, verified(across(held, sets, percent), sets, known, size, percent))
     return info.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
