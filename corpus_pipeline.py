@@ -28,7 +28,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier one holds; n_chars follows the text."""
-    changed = line_dedup(docs).drop("n_lines", "n_deleted")
+    changed = line_dedup(docs, to_end=True).drop("n_lines", "n_deleted")
     return changed.selectExpr(*("cast(char_length(text) as bigint) as n_chars" if c == "n_chars" else f"`{c}`" for c in docs.columns))
 
 

@@ -4,13 +4,17 @@ A window starts at every line that has a word and reaches until it holds ``least
 lines don't count. The smallest line hash of a window is its fingerprint, so two texts that share a
 run of that many words share a fingerprint inside it. Windows whose fingerprint occurs at one place
 only are done with. The others are joined with the first place that holds the same window; windows
-that repeat an earlier one and touch are joined to runs, which so extend both ways as far as the
-match does, and the runs are deleted.
+that repeat an earlier one and touch are joined to runs, and the runs are deleted.
+
+These windows leave the last lines of a match where fewer than ``least_words`` words remain after the
+last window inside it. With ``to_end`` there is also a window that ends at every line and reaches
+back until it holds the words. Every line of a match lies in a window of one kind that lies in the
+match, so the runs are then the whole matches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from strongbox.llm.tables import partitions, written
@@ -27,9 +31,9 @@ def _key(text: Column) -> list[Column]:
 DOCUMENT = ["doc_id", "text_hash", "text_bytes"]
 
 
-def windows_of(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+def windows_of(docs: DataFrame, least_words: int = LEAST_WORDS, to_end: bool = False) -> DataFrame:
     """A row per complete window: the document, first and last line, fingerprint and its line, and two
-    hashes of the window."""
+    hashes of the window. ``to_end`` adds the windows that end at a line."""
     text = F.coalesce(F.col("text"), F.lit(""))
     each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_key(text), F.posexplode(F.split(text, "\n")).alias("line", "value"))
     lines = each.select(
@@ -40,24 +44,33 @@ def windows_of(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     by_line = Window.partitionBy(*DOCUMENT).orderBy("line")
     lines = lines.withColumn("start", F.sum("words").over(by_line) - F.col("words"))
     ahead = Window.partitionBy(*DOCUMENT).orderBy("start").rangeBetween(0, least_words - 1)
-    found = lines.select(
-        *DOCUMENT, "line",
-        F.max("line").over(ahead).alias("last"),
-        F.min(F.struct("h", "line")).over(ahead).alias("least"),
-        F.sum("words").over(ahead).alias("held"),
-        F.collect_list(F.struct("h", "h2")).over(ahead).alias("content"),
-    ).where(F.col("held") >= least_words)
+
+    def over(frame: WindowSpec) -> list[Column]:
+        return [
+            F.min(F.struct("h", "line")).over(frame).alias("least"),
+            F.sum("words").over(frame).alias("held"),
+            F.collect_list(F.struct("h", "h2")).over(frame).alias("content"),
+        ]
+
+    found = lines.select(*DOCUMENT, "line", F.max("line").over(ahead).alias("last"), *over(ahead)).where(F.col("held") >= least_words)
+    if to_end:
+        back = Window.partitionBy(*DOCUMENT).orderBy("end").rangeBetween(1 - least_words, 0)
+        ending = lines.withColumn("end", F.col("start") + F.col("words")).select(
+            *DOCUMENT, F.min("line").over(back).alias("line"), F.col("line").alias("last"), *over(back), "words"
+        )
+        # Those that hold the words with their last line only also start at a line as windows.
+        found = found.unionByName(ending.where(F.col("held") - F.col("words") >= least_words).drop("words"))
     return found.select(
         *DOCUMENT, "line", "last", F.col("least.h").alias("fingerprint"), F.col("least.line").alias("fingerprint_line"),
         F.xxhash64("content").alias("gram"), F.hash("content").alias("gram2"),
     )
 
 
-def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS, to_end: bool = False) -> DataFrame:
     """Runs of lines that repeat an earlier run of at least ``least_words`` words: the document, first
     and last line. Documents are in the order of doc_id. Within a document the repeat may not overlap
     the run that it repeats."""
-    windows = written(windows_of(docs, least_words), "windows")
+    windows = written(windows_of(docs, least_words, to_end), "windows")
     place = F.struct(*DOCUMENT, "fingerprint_line")
     shared = windows.groupBy("fingerprint").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("fingerprint")
     candidates = windows.join(shared, "fingerprint", "left_semi")
@@ -74,15 +87,16 @@ def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     return runs.agg(F.min("line").alias("first"), F.max("last").alias("last")).drop("run")
 
 
-def line_dedup(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """Deletes later repeats of runs of lines with at least ``least_words`` words.
+def line_dedup(docs: DataFrame, least_words: int = LEAST_WORDS, to_end: bool = False) -> DataFrame:
+    """Deletes later repeats of runs of lines with at least ``least_words`` words: with ``to_end`` whole,
+    else as LINE_DEDUP_SQL says, without the last lines that no window from their start on covers.
 
     Returns the columns of ``docs`` with the remaining lines as text, and n_lines and n_deleted (long;
     columns of these names are replaced). A row in is a row out. Null texts stay null and have one,
-    empty, line. A text that repeats wholly becomes empty. Rows equal in doc_id and text are one
+    empty, line. A text that repeats wholly becomes empty with ``to_end``. Rows equal in doc_id and text are one
     document and are returned alike; rows without doc_id come before all others.
     """
-    runs = repeated_runs(docs, least_words).groupBy(*(F.col(c).alias(f"__{c}") for c in DOCUMENT)).agg(
+    runs = repeated_runs(docs, least_words, to_end).groupBy(*(F.col(c).alias(f"__{c}") for c in DOCUMENT)).agg(
         F.collect_list(F.struct("first", "last")).alias("__runs")
     )
     text = F.coalesce(F.col("text"), F.lit(""))

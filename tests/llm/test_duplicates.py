@@ -1,7 +1,9 @@
 """Line dedup against SQL, the Jaccard join against brute force."""
 
+import random
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import duckdb
 import pyarrow as pa
 import pytest
@@ -50,6 +52,39 @@ def test_lines_of_odd_rows(spark):
     assert line_dedup(docs(spark)).collect() == []
 
 
+def whole_matches(given, least=50):
+    """What is left of texts without blank lines when every line of a repeated run of lines goes, by brute force."""
+    texts = sorted((d, t.split("\n")) for d, t in given)
+    places = [(d, i) for d, lines in texts for i in range(len(lines))]
+    of, out = dict(texts), []
+    for d, lines in texts:
+        gone = set()
+        for i in range(len(lines)):
+            for e, a in places:
+                if (e, a) >= (d, i):
+                    break
+                n = 0
+                while i + n < len(lines) and a + n < (len(of[e]) if e != d else i) and lines[i + n] == of[e][a + n]:
+                    n += 1
+                if sum(len(x.split()) for x in lines[i : i + n]) >= least:
+                    gone.update(range(i, i + n))
+        out.append((d, "\n".join(x for i, x in enumerate(lines) if i not in gone), len(lines), len(gone)))
+    return out
+
+
+def test_matches_go_to_their_end(spark):
+    passage = words(0, 60) + "\n" + words(100, 8)
+    given = [(1, passage + "\nown one"), (2, "x\n" + passage + "\ny"), (3, passage + "\nown one"), (4, words(100, 8) + "\n" + words(0, 60))]
+    got = dict(rows(line_dedup(docs(spark, *given), to_end=True), "doc_id", "text"))
+    assert got == {1: given[0][1], 2: "x\ny", 3: "", 4: words(100, 8)}
+    assert dict(rows(corpus_pipeline.lines(spark, docs(spark, *given), ""), "doc_id", "text")) == got
+    draw = random.Random(5)
+    lines = [words(1000 * i, draw.choice([1, 3, 8, 20, 49, 50, 70])) for i in range(9)]
+    given = [(i, "\n".join(lines[(a + k) % 9] if draw.random() < 0.9 else f"own{i}" for k in range(draw.randrange(1, 14)))) for i in range(40) for a in [draw.randrange(9)]]
+    got = sorted(rows(line_dedup(docs(spark, *given), to_end=True), "doc_id", "text", "n_lines", "n_deleted"))
+    assert got == whole_matches(given)
+
+
 def sets_of(given, size):
     out = {}
     for doc_id, text in given:
