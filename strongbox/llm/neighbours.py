@@ -3,7 +3,8 @@
 Equal vectors are one node. Nodes on the same sides of random directions are compared with each other,
 which gives each its first neighbours. Each round joins the neighbours of a node, forward and
 reverse, with each other where one of them is new, and offers them what they find better than their
-worst neighbour. A search starts at the query's own neighbours, follows the neighbours of the best
+worst neighbour. Neighbours that a round didn't draw stay new; rounds end when hardly any neighbour is
+new. A search starts at the query's own neighbours, follows the neighbours of the best
 nodes that it hasn't followed yet, and stops when none of them is among the best.
 """
 
@@ -19,12 +20,11 @@ from pyspark.sql import functions as F
 from strongbox.llm.tables import arrow_schema, partitions, written
 
 K = 20
-#: Neighbours of a node in the graph; nodes that one is joined with in a round, new and old ones each.
-DEGREE, JOINED, ROUNDS = 32, 16, 2
+#: Neighbours of a node in the graph; nodes that one is joined with in a round, new and old ones, forward
+#: and reverse each; share of new neighbours that is left when rounds end.
+DEGREE, JOINED, LEFT_NEW = 32, 16, 0.001
 #: Tables of random directions that the graph starts from, and nodes compared at once there.
 TABLES, LEAF = 20, 2048
-#: Nodes that a search follows in a step, and its steps at most.
-FOLLOWED, STEPS = 8, 4
 
 EDGE_DDL = "node long, other long, sim double"
 EDGE = arrow_schema(node=pa.int64(), other=pa.int64(), sim=pa.float64())
@@ -178,10 +178,10 @@ def _nearest(edges: DataFrame, most: int, by: str = "node") -> DataFrame:
 
 def descend(graph: DataFrame, nodes: DataFrame, round_: int, degree: int = DEGREE, joined: int = JOINED) -> DataFrame:
     """One round: what neighbours of a node find in each other, merged into the graph (node, other, sim, new)."""
-    both = graph.select("node", "other", "new").unionByName(graph.select(F.col("other").alias("node"), F.col("node").alias("other"), "new"))
-    both = both.groupBy("node", "other").agg(F.max("new").alias("new"))
     drawn = F.row_number().over(Window.partitionBy("node", "new").orderBy(F.xxhash64(F.lit(round_), "node", "other")))
-    both = both.withColumn("n", drawn).where(F.col("n") <= joined).drop("n")
+    reverse = graph.select(F.col("other").alias("node"), F.col("node").alias("other"), "new")
+    ways = [edges.withColumn("n", drawn).where(F.col("n") <= joined).drop("n") for edges in (graph.select("node", "other", "new"), reverse)]
+    both = ways[0].unionByName(ways[1]).groupBy("node", "other").agg(F.max("new").alias("new"))
     least = graph.groupBy("node").agg(F.when(F.count("*") >= degree, F.min("sim")).otherwise(float("-inf")).alias("least"))
     known = nodes.select("node", "embedding").join(least, "node").withColumnRenamed("node", "other")
     around = both.join(known, "other").repartition(partitions(graph.sparkSession), "node").sortWithinPartitions("node")
@@ -201,7 +201,7 @@ def descend(graph: DataFrame, nodes: DataFrame, round_: int, degree: int = DEGRE
 
         def give() -> Iterator[pa.RecordBatch]:
             if found:
-                yield _batch(*_best(*(np.concatenate(x) for x in zip(*found, strict=True)), degree // 2))
+                yield _batch(*_best(*(np.concatenate(x) for x in zip(*found, strict=True)), degree))
                 found.clear()
 
         def each(table: pa.Table, ended: bool) -> pa.Table | None:
@@ -226,16 +226,21 @@ def descend(graph: DataFrame, nodes: DataFrame, round_: int, degree: int = DEGRE
         yield from give()
 
     offered = around.select(*schema).mapInArrow(join, EDGE_DDL).withColumn("new", F.lit(True))
-    merged = graph.withColumn("new", F.lit(False)).unionByName(offered)
+    # What was drawn is new no longer.
+    kept = graph.withColumn("n", drawn).withColumn("new", F.col("new") & (F.col("n") > joined)).drop("n")
+    merged = kept.unionByName(offered)
     merged = merged.groupBy("node", "other").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
     return written(_nearest(merged, degree), "graph")
 
 
-def neighbour_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
-    """The graph of nodes (node, embedding): node, other, sim, new."""
-    graph = written(first_graph(nodes, nodes.count(), degree).withColumn("new", F.lit(True)), "graph")
-    for n in range(rounds):
-        graph = descend(graph, nodes, n, degree)
+def neighbour_graph(nodes: DataFrame, degree: int = DEGREE, left_new: float = LEFT_NEW, tables: int = TABLES, leaf: int = LEAF) -> DataFrame:
+    """The graph of nodes (node, embedding): node, other, sim, new. Rounds end when the share of new
+    neighbours is at most ``left_new``; each one replaces neighbours by nearer ones, so they do end."""
+    graph = written(first_graph(nodes, nodes.count(), degree, tables, leaf).withColumn("new", F.lit(True)), "graph")
+    round_, share = 0, 1.0
+    while share > left_new:
+        graph = descend(graph, nodes, round_, degree)
+        round_, share = round_ + 1, graph.agg(F.avg(F.col("new").cast("int"))).first()[0] or 0.0
     return graph
 
 
@@ -245,31 +250,29 @@ def inner_product(a: Column | str, b: Column | str) -> Column:
     )
 
 
-def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, k: int = K, followed: int = FOLLOWED, steps: int = STEPS) -> DataFrame:
+def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """Greedy search for the nearest nodes of queries (node): node, other, sim, for at least ``k`` others
-    each where the graph has as many."""
+    each where the graph has as many. Ends when every node among a query's best ``k`` was followed."""
     edges = graph.select("node", "other")
     wanted = nodes.select("node", "embedding")
     asked = queries.join(wanted, "node").select("node", F.col("embedding").alias("asked"))
     found = graph.join(queries, "node", "left_semi").select("node", "other", "sim", F.lit(False).alias("done"))
-    for _ in range(steps):
-        open_ = _nearest(found, k).where("not done")
-        rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("sim"), "other"))
-        follow = written(open_.withColumn("rank", rank).where(F.col("rank") <= followed).select("node", "other"), "follow")
+    while True:
+        follow = written(_nearest(found, k).where("not done").select("node", "other"), "follow")
         if follow.isEmpty():
             break
         reached = follow.join(edges.select(F.col("node").alias("other"), F.col("other").alias("next")), "other")
         reached = reached.select("node", F.col("next").alias("other")).where("node <> other").distinct().join(found.select("node", "other"), ["node", "other"], "left_anti")
         measured = reached.join(wanted.withColumnRenamed("node", "other"), "other").join(asked, "node")
         measured = measured.select("node", "other", inner_product("asked", "embedding").alias("sim"), F.lit(False).alias("done"))
-        marked = found.join(follow.withColumn("now", F.lit(True)), ["node", "other"], "left")
-        marked = marked.select("node", "other", "sim", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
+        rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("sim"), "other"))
+        marked = found.withColumn("done", F.col("done") | (rank <= k))  # those that were followed now
         # Beyond the best, nodes are never followed; they are remembered so as not to be measured again.
         found = written(marked.unionByName(measured), "found")
     return _nearest(found.select("node", "other", "sim"), k)
 
 
-def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = K, rounds: int = ROUNDS) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = K, tables: int = TABLES, leaf: int = LEAF) -> DataFrame:
     """The ``k`` nearest rows of each query row by the inner product, itself left out.
 
     ``vectors`` has vec_id and embedding, ``is_query`` chooses rows by vec_id. Returns query_id, rank
@@ -282,7 +285,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = K, rounds:
     nodes = written(classes(rows, k + 1), "nodes")
     # Single precision finds the nodes; what is found is measured in double precision.
     light = written(nodes.select("node", F.col("embedding").cast("array<float>").alias("embedding")), "light")
-    graph = neighbour_graph(light, rounds=rounds)
+    graph = neighbour_graph(light, tables=tables, leaf=leaf)
     asked = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "embedding")
     asked = written(asked.join(nodes.select("embedding", "node"), "embedding").select("query_id", "node"), "asked")
     queries = asked.select("node").distinct()

@@ -111,6 +111,16 @@ def test_neighbours_of_few_odd_and_equal_vectors(spark):
     assert nearest_neighbours(spark.createDataFrame([], VECTORS), F.col("vec_id") == 0).collect() == []
 
 
+def test_descent_and_search_find_what_no_leaf_holds(spark):
+    draw = np.random.default_rng(7)
+    given = [(i, (v / np.sqrt(v @ v)).tolist()) for i, v in enumerate(draw.standard_normal((3000, 12)))]
+    frame = spark.createDataFrame([(i, v, "") for i, v in given], VECTORS)
+    want = {(q, v) for q, _, v, _ in brute(given, 20, 20)}
+    # Two tables of leaves of 64 nodes: the first lists hold few of the nearest.
+    got = {(q, v) for q, _, v, _ in found(nearest_neighbours(frame, F.col("vec_id") % 20 == 0, 20, tables=2, leaf=64))}
+    assert len(got & want) >= 0.98 * len(want)
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as p
 
