@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strongbox.llm.tables import Rows, arrow_schema, held_out, rows_of, texts
+from strongbox.llm.tables import Rows, arrow_schema, held_out, one_text, rows_of, texts
 from strongbox.llm.words import MIX, Memo, hashed, ngram_hashes, word_hashes, words_of
 
 SAMPLE, CALIBRATION = 1000, 500
@@ -183,7 +183,7 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str, learn: int, check: i
     ]
     chosen = parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
     # At most 2 * (learn + check) rows of a few bytes.
-    return texts(docs).join(F.broadcast(chosen), "doc_id").select("text", "label", "learn", "at")
+    return one_text(docs, chosen).select("text", "label", "learn", "at")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, calibration: int = CALIBRATION) -> Model | None:

@@ -40,6 +40,13 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     )
 
 
+def one_text(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of ``chosen`` (doc_id, once each, few enough to broadcast) with the smallest text of their
+    document: an id that many rows share counts as one document."""
+    given = texts(docs).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
+    return given.groupBy("doc_id").agg(F.min("text").alias("text")).join(F.broadcast(chosen), "doc_id")
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a document belongs to the fold that is never learnt from: crc32 of the id as text, modulo 5."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strongbox.llm.quality_rules import platt
-from strongbox.llm.tables import Rows, arrow_schema, held_out, is_held_out, rows_of, texts, written
+from strongbox.llm.tables import Rows, arrow_schema, held_out, is_held_out, one_text, rows_of, texts, written
 from strongbox.llm.words import Memo
 
 SAMPLE, CALIBRATION = 2000, 500
@@ -141,7 +141,7 @@ def examples_of(docs: DataFrame, labels: DataFrame, sample: int, calibration: in
     ]
     both = chosen[0].unionAll(chosen[1])
     # At most 2 * (sample + calibration) rows of a few bytes.
-    found = texts(docs).join(F.broadcast(both), "doc_id")
+    found = one_text(docs, both)
     learn = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(sample + calibration)) < sample
     return written(found.select("doc_id", "text", "label", learn.alias("learn")), "examples"), share
 

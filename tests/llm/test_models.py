@@ -6,10 +6,10 @@ import zlib
 import numpy as np
 from helpers import docs, rows, words
 from pyspark.sql import functions as F
-from strongbox.llm.quality_rules import keep_good, quality_rules
+from strongbox.llm.quality_rules import keep_good, quality_rules, sampled
 from strongbox.llm.queries import QUERIES
 from strongbox.llm.site_quality import site_quality
-from strongbox.llm.toxicity import Index, keep_clean, toxicity
+from strongbox.llm.toxicity import Index, examples_of, keep_clean, toxicity
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -88,6 +88,15 @@ def test_labels_of_held_out_rows_do_not_count(spark):
     assert one == two
 
 
+def test_an_id_is_one_example(spark):
+    given = [*[(1, f"text {i} of one") for i in range(50)], (2, "two"), (3, None), (4, "four")]
+    known = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 5)], LABELS)
+    assert sorted(rows(sampled(docs(spark, *given), known, "quality", 100, 100), "text", "label")) == [("", 1), ("four", 0), ("text 0 of one", 1), ("two", 0)]
+    out, _ = examples_of(docs(spark, *given), known, 100, 100)
+    ids = [r["doc_id"] for r in out.collect()]
+    assert len(ids) == len(set(ids)) and dict(rows(out, "doc_id", "text")).get(1, "text 0 of one") == "text 0 of one"
+
+
 def test_models_of_odd_rows(spark):
     out, labels = corpus(60)
     odd = [*out, (None, "vilewordx " * 60, None, None, None), (7, None, None, None, None), (7, out[7][1], "en", "host0", 1)]
