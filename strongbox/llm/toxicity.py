@@ -269,19 +269,21 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, calibrati
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose score is below the threshold, with all their columns."""
-    model, share = train(docs, labels)
+    """The rows of ``docs`` whose score is below the threshold, with all their columns; all rows where
+    no model could be fitted."""
+    model, _ = train(docs, labels)
+    if model is None:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        counts, index = (TermCounts(model.vocabulary), Index(model.vectors, len(model.vocabulary))) if model else (None, None)
+        counts, index = TermCounts(model.vocabulary), Index(model.vectors, len(model.vocabulary))
         for batch in batches:
             kept = []
             for (text,) in rows_of(iter([batch]), "text"):
-                found = counts.of(text or "") if model else None
-                p = model.score(index.nearest(found[0], tfidf(*found, model.idf), NEIGHBOURS)) if model else share
-                kept.append(p < threshold)
+                found = counts.of(text or "")
+                kept.append(model.score(index.nearest(found[0], tfidf(*found, model.idf), NEIGHBOURS)) < threshold)
             yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -97,6 +97,12 @@ def test_an_id_is_one_example(spark):
     assert len(ids) == len(set(ids)) and dict(rows(out, "doc_id", "text")).get(1, "text 0 of one") == "text 0 of one"
 
 
+def test_without_a_model_all_documents_stay(spark):
+    out, _ = corpus(20)
+    toxic = spark.createDataFrame([(i, 1, 1) for i in range(20)], LABELS)
+    assert keep_clean(docs(spark, *out), toxic).count() == 20
+
+
 def test_models_of_odd_rows(spark):
     out, labels = corpus(60)
     odd = [*out, (None, "vilewordx " * 60, None, None, None), (7, None, None, None, None), (7, out[7][1], "en", "host0", 1)]
