@@ -1,6 +1,7 @@
 """Best-fit packing of tokenized documents into sequences of a fixed capacity.
 
-Pieces are ranked within their length by tasks. A superstep matches all pieces of one length, the
+Pieces are ranked within their length by tasks. The sweep runs on the driver, over the counts of
+lengths, in place of distributed sweeps. A superstep matches all pieces of one length, the
 longest length first: gaps are kept sorted by what is left in them, a sweep finds the smallest gap
 that holds the length, pieces and gaps that compete for each other are settled by rank, the gaps that
 took pieces move to their new size, and the next length follows. What is not placed opens sequences.
