@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strongbox.llm.tables import written
+from strongbox.llm.tables import with_hot, written
 
 
 def components(links: DataFrame) -> DataFrame:
     """Of links (a, b), the smallest node that each node reaches: node, component. Nodes without a link
-    to another are left out. Every round is written down; none holds a component in one task.
+    to another are left out. Every round is written down; none holds a component in one task, and the
+    edges of a node that has very many are not shuffled to meet.
 
     Each round hangs the larger neighbours of a node on the smallest one, then the smaller ones; the
     number of rounds grows with the logarithm of the longest chain."""
@@ -19,10 +20,11 @@ def components(links: DataFrame) -> DataFrame:
     while (state := _state(edges)) != before:
         before = state
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "least")
+        large = with_hot(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = written(large, "large")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+        small = with_hot(large, least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
         edges = written(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct(), "links")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 

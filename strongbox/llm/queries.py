@@ -14,6 +14,7 @@ from strongbox.llm.neighbours import nearest_neighbours
 from strongbox.llm.packing import pack_documents
 from strongbox.llm.pieces import encode_pieces
 from strongbox.llm.quality_rules import quality_rules
+from strongbox.llm.simhash import simhash_join
 from strongbox.llm.site_quality import site_quality
 from strongbox.llm.tables import table
 from strongbox.llm.toxicity import toxicity
@@ -94,3 +95,8 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_join(table(spark, sf_dir, "documents"), size=3, bits=3)

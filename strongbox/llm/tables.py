@@ -68,6 +68,20 @@ def rows_of(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]
             yield from zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in columns), strict=True)
 
 
+#: A key is hot when it holds more than one row in so many; there can be no more hot keys than this.
+HOT_KEYS = 10_000
+
+
+def with_hot(rows: DataFrame, keyed: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` with the other columns of ``keyed``, which has a row per key and, in ``n``, how many rows
+    have that key. Rows of hot keys meet it by broadcast and are not shuffled; only others are. A null
+    key meets nothing."""
+    total = keyed.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(keyed.where(F.col("n") * HOT_KEYS > total))  # fewer than HOT_KEYS rows
+    cold = keyed.where(F.col("n") * HOT_KEYS <= total)
+    return rows.join(hot, key).drop("n").unionByName(rows.join(hot, key, "left_anti").join(cold, key, how).drop("n"))
+
+
 class Rows:
     """Collects output rows and gives them out as Arrow batches of bounded size."""
 
