@@ -87,16 +87,16 @@ def indexed(fingers: DataFrame, lists: list[tuple[int, ...]]) -> DataFrame:
     return fingers.select("f", "node", F.explode(F.array(*keys)).alias("key")).select("key.part", "key.bytes", "f", "node")
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of links between n members, the smallest member that each one reaches."""
-    label = np.arange(n)
+def forest(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest member that each one reaches, once links (a, b) are added to what ``label`` says of it."""
     while True:
-        least, before = np.minimum(label[a], label[b]), label.copy()
-        np.minimum.at(label, a, least)
-        np.minimum.at(label, b, least)
-        label = label[label]
-        if np.array_equal(label, before):
+        apart = label[a] != label[b]
+        if not apart.any():
             return label
+        a, b = a[apart], b[apart]
+        np.minimum.at(label, np.maximum(label[a], label[b]), np.minimum(label[a], label[b]))
+        while not np.array_equal(up := label[label], label):
+            label = up
 
 
 def compared(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
@@ -109,12 +109,13 @@ def compared(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
 
 
 def among(f: np.ndarray, bits: int) -> np.ndarray:
-    """The forest of a list's links, each member compared with all others, some rows at a time."""
-    found, step = [], max(1, (1 << 20) // len(f))
+    """The forest of a list's links, each member compared with all others, some rows at a time. Links are
+    added to the forest as they are found, so that many of them need no room."""
+    label, step = np.arange(len(f)), max(1, (1 << 18) // len(f))
     for at in range(0, len(f), step):
         i, j = np.nonzero(compared(f[at : at + step, None], f[None, at:], bits))
-        found.append(np.stack([i, j])[:, i < j] + at)
-    return forest(len(f), *np.concatenate(found, axis=1))
+        label = forest(label, i[i < j] + at, j[i < j] + at)
+    return label
 
 
 def by_flips(f: np.ndarray, positions: tuple[int, ...], bits: int) -> np.ndarray:
@@ -154,15 +155,13 @@ def met(postings: DataFrame, lists: list[tuple[int, ...]], bits: int, longest: i
         starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
         sizes = np.diff(np.append(starts, len(key)))
         short = np.repeat(sizes, sizes) <= 32
-        links = []
-        for d in range(1, min(32, int(sizes.max(initial=1)))):  # in short lists, each member with that d places on
+        label = np.arange(len(f))
+        for d in range(1, min(32, int(sizes.max()))):  # in short lists, each member with that d places on
             i = np.flatnonzero(short[:-d] & (key[d:] == key[:-d]) & (part[d:] == part[:-d]))
             i = i[compared(f[i], f[i + d], bits)]
-            links.append((i, i + d))
-        if links:
-            label = forest(len(f), *(np.concatenate(x) for x in zip(*links, strict=True)))
-            own = np.flatnonzero(label != np.arange(len(f)))
-            yield from rows(False, node[own], node[label[own]])
+            label = forest(label, i, i + d)
+        own = np.flatnonzero(label != np.arange(len(f)))
+        yield from rows(False, node[own], node[label[own]])
         for at, n in zip(starts[sizes > 32], sizes[sizes > 32], strict=True):
             one, its = f[at : at + n], node[at : at + n]
             label = by_flips(one, lists[part[at]], bits) if longest is None and n > FLIPPED else among(one, bits)
