@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strongbox.llm.chat import conversations_to_messages, format_chat, read_chat
 from strongbox.llm.jaccard import jaccard_join
+from strongbox.llm.lexical import RANKED_SQL, ranked
 from strongbox.llm.line_dedup import LINE_DEDUP_SQL, line_dedup
 from strongbox.llm.neighbours import nearest_neighbours
 from strongbox.llm.packing import pack_documents
@@ -16,6 +17,7 @@ from strongbox.llm.pieces import encode_pieces
 from strongbox.llm.quality_rules import quality_rules
 from strongbox.llm.simhash import simhash_join
 from strongbox.llm.site_quality import site_quality
+from strongbox.llm.spelling import SPELLING_SQL, spelling_variants
 from strongbox.llm.tables import table
 from strongbox.llm.toxicity import toxicity
 from strongbox.llm.warc import read_warc, write_warc
@@ -100,3 +102,19 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_join(table(spark, sf_dir, "documents"), size=3, bits=3)
+
+
+@query
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), k=10)
+
+
+SQL["op12_ranked_search"] = RANKED_SQL
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"), shortest=7, least=2, times=10, every=31)
+
+
+SQL["op13_spelling_variants"] = SPELLING_SQL
