@@ -7,8 +7,9 @@ a budget of one each: to the child with its own count, to the next higher one fo
 lower one for the deficit. Words at the leaves it reaches are compared letter by letter.
 
 The first levels of the trie are the key by which its branches are dealt to tasks; a word is sent to every
-branch that its budget reaches from the root. Near is mutual, so only words as long or one letter longer
-are sought and each pair is found once. Branches that hold many words are cut into blocks.
+branch that its budget reaches from the root. Branches that hold many words are replaced by their children,
+level by level, and words go on to those that they reach. Near is mutual, so only words as long or one
+letter longer are sought and each pair is found once.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,10 @@ from strongbox.llm.words import LOWER
 
 #: Letters are dealt to so many groups, by code point.
 GROUPS = 16
-#: Words of a branch that one task takes before the branch is cut; more, where the words of all branches are very many.
-BRANCH = 20_000
+#: Levels below the length that every branch has.
+DEPTH = 2
+#: Words of a branch above which it is replaced by its children; more, where all words are very many.
+BRANCH = 4000
 #: So many pairs of a word and a leaf are compared at once instead of going further down.
 FEW = 4096
 
@@ -64,13 +68,15 @@ def word_counts(docs: DataFrame, shortest: int, every: int) -> DataFrame:
     return texts(docs).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def path(word: str) -> np.ndarray:
-    """How many letters of each group a word has."""
-    return np.bincount(letters(word) % GROUPS, minlength=GROUPS)
+def letters(words: Sequence[str]) -> np.ndarray:
+    """The code points of all words, one behind another."""
+    return np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
 
 
-def letters(word: str) -> np.ndarray:
-    return np.frombuffer(word.encode("utf-32-le"), "<u4").astype(np.int64)
+def paths(words: Sequence[str]) -> np.ndarray:
+    """How many letters of each group every word has."""
+    word = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    return np.bincount(word * GROUPS + letters(words) % GROUPS, minlength=len(words) * GROUPS).reshape(-1, GROUPS)
 
 
 def reached(counts: list[int], length: int) -> Iterator[str]:
@@ -90,6 +96,19 @@ def branch(counts: list[int], length: int) -> str:
     return f"{length}:" + ",".join(map(str, counts))
 
 
+def children(place: str, word: str, own: list[int], is_leaf: bool) -> Iterator[str]:
+    """The children of a branch that a word reaches with what its budget has left."""
+    length, *counts = map(int, place.replace(":", ",").split(","))
+    spent = [b - a for a, b in zip(own, counts)]
+    next_ = own[len(counts)]
+    yield f"{place},{next_}"
+    if not is_leaf:
+        if sum(d for d in spent if d > 0) < 1:
+            yield f"{place},{next_ + 1}"
+        if length == len(word) and next_ and sum(-d for d in spent if d < 0) < 1:
+            yield f"{place},{next_ - 1}"
+
+
 def search(leaves: np.ndarray, asked: np.ndarray, level: int, surplus: np.ndarray, deficit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Depth-first search from a node of the trie at ``level``: pairs of positions (leaf, asked) whose
     paths are within budget. ``leaves`` are the paths below the node in their order, ``asked`` those of the
@@ -129,20 +148,29 @@ def one_edit(longer: np.ndarray, word: np.ndarray) -> np.ndarray:
 def near_words(words: DataFrame) -> DataFrame:
     """Pairs (word, near, n) of words one edit apart, in both directions; n is that of ``near``.
     ``words`` has rows (word, n), each word once."""
-    spark, total = words.sparkSession, words.count()
-    depth = 2
-    while depth < GROUPS - 1 and 10_000 * 4**depth < total:  # so many branches, about
-        depth += 1
+    total, routed_schema = words.count(), arrow_schema(branch=pa.string(), leaf=pa.bool_(), word=pa.string(), n=pa.int64())
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Rows(arrow_schema(branch=pa.string(), leaf=pa.bool_(), word=pa.string(), n=pa.int64()), most=16384)
-        for word, n in rows_of(batches, "word", "n"):
-            counts = path(word)[:depth].tolist()
-            out.add(branch(counts, len(word)), True, word, n, size=len(word))
-            for other in reached(counts, len(word)):
-                out.add(other, False, word, n, size=len(word))
-            if out.full():
-                yield from out.take()
+        out = Rows(routed_schema, most=16384)
+        for batch in batches:
+            own = batch.column(batch.schema.get_field_index("word")).to_pylist()
+            for (word, n), counts in zip(rows_of([batch], "word", "n"), paths(own)[:, :DEPTH].tolist(), strict=True):
+                out.add(branch(counts, len(word)), True, word, n, size=len(word))
+                for other in reached(counts, len(word)):
+                    out.add(other, False, word, n, size=len(word))
+                if out.full():
+                    yield from out.take()
+        yield from out.take()
+
+    def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Rows(routed_schema, most=16384)
+        for batch in batches:
+            own = batch.column(batch.schema.get_field_index("word")).to_pylist()
+            for (place, is_leaf, word, n), counts in zip(rows_of([batch], "branch", "leaf", "word", "n"), paths(own).tolist(), strict=True):
+                for child in children(place, word, counts, is_leaf):
+                    out.add(child, is_leaf, word, n, size=len(word))
+                if out.full():
+                    yield from out.take()
         yield from out.take()
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,19 +178,20 @@ def near_words(words: DataFrame) -> DataFrame:
 
         def close(leaves: list[tuple[str, int]], asked: list[tuple[str, int]]) -> Iterator[pa.RecordBatch]:
             length = len(leaves[0][0])
-            paths = np.stack([path(w) for w, _ in leaves])
-            order = np.lexsort(paths.T[::-1])
-            leaves, paths = [leaves[i] for i in order], paths[order]
-            own = np.stack([letters(w) for w, _ in leaves])
+            found = paths([w for w, _ in leaves])
+            order = np.lexsort(found.T[::-1])
+            leaves, found = [leaves[i] for i in order], found[order]
+            own = letters([w for w, _ in leaves]).reshape(-1, length)
+            level = now.count(",") + 1
             for size in (length, length - 1):
                 words = [a for a in asked if len(a[0]) == size]
                 for at in range(0, len(words), BRANCH):
                     part = words[at : at + BRANCH]
-                    theirs, other = np.stack([path(w) for w, _ in part]), np.stack([letters(w) for w, _ in part])
-                    more = paths[0, :depth] - theirs[:, :depth]
+                    theirs, other = paths([w for w, _ in part]), letters([w for w, _ in part]).reshape(-1, size)
+                    more = found[0, :level] - theirs[:, :level]
                     plus = 1 - np.maximum(more, 0).sum(1)
                     minus = (1 if size == length else 0) - np.maximum(-more, 0).sum(1)
-                    for leaf, word in search(paths, theirs, depth, plus, minus):
+                    for leaf, word in search(found, theirs, level, plus, minus):
                         step = max(1, (1 << 20) // length)
                         for k in range(0, len(leaf), step):
                             i, j = leaf[k : k + step], word[k : k + step]
@@ -175,12 +204,12 @@ def near_words(words: DataFrame) -> DataFrame:
                             if out.full():
                                 yield from out.take()
 
-        now, leaves, asked = None, [], []
-        for *key, is_leaf, word, n in rows_of(batches, "branch", "block", "leaf", "word", "n"):
-            if key != now:
+        now, leaves, asked = "", [], []
+        for place, is_leaf, word, n in rows_of(batches, "branch", "leaf", "word", "n"):
+            if place != now:
                 if leaves and asked:
                     yield from close(leaves, asked)
-                now, leaves, asked = key, [], []
+                now, leaves, asked = place, [], []
             if is_leaf:
                 leaves.append((word, n))
             elif leaves:  # leaves come first
@@ -192,15 +221,20 @@ def near_words(words: DataFrame) -> DataFrame:
             yield from close(leaves, asked)
         yield from out.take()
 
-    routed = written(words.mapInArrow(route, "branch string, leaf boolean, word string, n long"), "routed")
-    most = max(BRANCH, total // HOT_KEYS)
-    counted = routed.where("leaf").groupBy("branch").agg(F.ceil(F.count("*") / most).cast("int").alias("blocks"))
-    routed = routed.join(F.broadcast(counted.where("blocks > 1")), "branch", "left")  # fewer than HOT_KEYS rows
-    blocks = F.coalesce("blocks", F.lit(1))
-    block = F.when(F.col("leaf"), F.array(F.pmod(F.xxhash64("word"), blocks).cast("int"))).otherwise(F.sequence(F.lit(0), blocks - 1))
-    dealt = routed.select("branch", F.explode(block).alias("block"), "leaf", "word", "n")
-    dealt = dealt.repartition(partitions(spark), "branch", "block").sortWithinPartitions("branch", "block", F.desc("leaf"))
-    return dealt.mapInArrow(find, "word string, near string, n long")
+    spec = "branch string, leaf boolean, word string, n long"
+    pending, done = written(words.mapInArrow(route, spec), "routed"), []
+    for _ in range(DEPTH, GROUPS):
+        full = pending.where("leaf").groupBy("branch").count().where(F.col("count") > max(BRANCH, total // HOT_KEYS)).select("branch")
+        full = F.broadcast(written(full, "full"))  # fewer than HOT_KEYS rows
+        done.append(pending.join(full, "branch", "left_anti"))
+        more = pending.join(full, "branch", "left_semi")
+        if more.isEmpty():
+            break
+        pending = written(more.mapInArrow(descend, spec), "routed")
+    else:
+        done.append(pending)  # words whose paths are the same throughout
+    dealt = reduce(DataFrame.unionByName, done).repartition(partitions(words.sparkSession), "branch")
+    return dealt.sortWithinPartitions("branch", F.desc("leaf")).mapInArrow(find, "word string, near string, n long")
 
 
 def last_forms(forms: DataFrame) -> DataFrame:
