@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strongbox.filesystem import exists, folders
+from strongbox.filesystem import folders
 from strongbox.operators.joins import join_on
+from strongbox.plans.manifest import copies, finished, write_copy
 from strongbox.schemas import BACKUP_PARTITIONS, SNAP, SST, UNKNOWN_NUMBER
-from strongbox.sources.files import read_backup, table_folder
+from strongbox.sources.files import read_backup
 from strongbox.workspace import new_folder
 
 ROWS_PER_FILE = 5_000_000
@@ -19,20 +20,23 @@ TABLES_AT_A_TIME = 4
 
 
 def complete(backup: str, **parts: str) -> bool:
-    """Whether the copy of a table was written to its end: Spark marks the folder then."""
-    return exists(f"{table_folder(backup, **parts)}/_SUCCESS")
+    """Whether the copy of a table was written to its end: it has its manifest then."""
+    return finished(backup, **parts)
 
 
-def _write(rows: DataFrame, backup: str, compression: str | None, mode: str, **parts: str) -> str:
-    """Writes to the folder of one partition: backups of other tables may run at the same time."""
+def _write(rows: DataFrame, backup: str, compression: str | None, copy: str = "whole", **parts: str) -> None:
+    """Writes a copy into the folder of one partition: backups of other tables may run at the same time."""
     clash = set(BACKUP_PARTITIONS) & set(rows.columns)
     if clash:
         raise ValueError(f"columns named like backup partitions: {sorted(clash)}")
-    folder, writer = table_folder(backup, **parts), rows.write.mode(mode)
-    if compression:
-        writer = writer.option("compression", compression)
-    writer.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(folder)
-    return folder
+    options = {"maxRecordsPerFile": ROWS_PER_FILE} | ({"compression": compression} if compression else {})
+    write_copy(rows, backup, copy, options, **parts)
+
+
+def next_increment(backup: str, **parts: str) -> str:
+    """The name of the increment after the last finished one; what a failed one left behind is replaced."""
+    last = max((int(c.rsplit("-", 1)[-1]) for c in copies(backup, **parts)), default=0)
+    return f"increment-{last + 1:09d}"
 
 
 def snapshot_backup(
@@ -40,13 +44,14 @@ def snapshot_backup(
 ) -> DataFrame:
     """Copies a whole table under a new snapshot name and returns the manifest of the copy.
 
-    Tasks copy their own input: there is no shuffle. A name that exists already is an error, but
-    what a failed copy left behind is replaced.
+    Tasks copy their own input: there is no shuffle of rows. The copy is read back against the digest of
+    what was written. A name that exists already is an error, but what a failed copy left behind is
+    replaced.
     """
     spark, parts = rows.sparkSession, {"snapshot": snapshot, "backup_type": SNAP, "keyspace": keyspace, "table": table}
     if complete(backup, **parts):
         raise FileExistsError(f"snapshot {snapshot} of {keyspace}.{table} exists")
-    _write(rows, backup, compression, "overwrite", **parts)
+    _write(rows, backup, compression, **parts)
     return backup_manifest(spark, backup, **parts)
 
 
@@ -77,8 +82,9 @@ def incremental_backup(
 
     Only keys and versions of the backup are read, and only keys and versions are shuffled to find
     what is new. What is new is written down first: its size is then known, and the planner
-    broadcasts it if it is small, so whole rows are shuffled only for a large increment. Without a
-    snapshot to attach to it is an error.
+    broadcasts it if it is small, so whole rows are shuffled only for a large increment. Rows that are
+    gone from the table stay in the backup: ``change_backup`` records those. Without a snapshot to attach
+    to it is an error.
     """
     spark = rows.sparkSession
     last = snapshot or last_snapshot(backup, keyspace, table)
@@ -90,8 +96,9 @@ def incremental_backup(
     written = new_folder(spark, "new-keys")
     new.distinct().write.parquet(written)
     found = spark.read.schema(new.schema).parquet(written)
-    _write(join_on(rows, found, names, "left_semi"), backup, compression, "append", backup_type=SST, **parts)
-    return backup_manifest(spark, backup, backup_type=SST, **parts)
+    new_rows, parts = join_on(rows, found, names, "left_semi"), parts | {"backup_type": SST}
+    _write(new_rows, backup, compression, next_increment(backup, **parts), **parts)
+    return backup_manifest(spark, backup, **parts)
 
 
 def last_snapshot(backup: str, keyspace: str, table: str) -> str | None:

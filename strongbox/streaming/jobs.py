@@ -9,8 +9,8 @@ from strongbox.operators.ordered import micros
 from strongbox.operators.runs import admit_exclusive, lock_class
 from strongbox.operators.state import upsert_state
 from strongbox.operators.transfer import throttle_progress
+from strongbox.plans.manifest import write_copy
 from strongbox.schemas import CL, PROGRESS_INTERVAL_MS
-from strongbox.sources.files import table_folder
 from strongbox.streaming.versioned import VersionedState
 
 ONCE = {"availableNow": True}
@@ -21,15 +21,15 @@ def change_log_backup(
 ) -> StreamingQuery:
     """Copies a change log below the last snapshot. Each change is copied once; the source stays.
 
-    The copy is a partition like any other of the backup. A micro-batch has a folder of its own in it
-    and replaces that if it is repeated; the stream keeps its own records at ``checkpoint`` only.
+    The copy is a partition like any other of the backup. A micro-batch is a copy of its own in it, with
+    its manifest, and replaces that if it is repeated; the stream keeps its own records at ``checkpoint``
+    only.
     """
     if not (snapshot or "").strip():
         raise ValueError("take a snapshot before a change-log backup")
-    folder = table_folder(backup, snapshot=snapshot, backup_type=CL, keyspace=keyspace, table=table)
 
     def copy(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/batch-{n:09d}")
+        write_copy(batch, backup, f"batch-{n:09d}", snapshot=snapshot, backup_type=CL, keyspace=keyspace, table=table)
 
     return stream.writeStream.foreachBatch(copy).option("checkpointLocation", checkpoint).trigger(**(trigger or ONCE)).start()
 
