@@ -7,9 +7,9 @@ a budget of one each: to the child with its own count, to the next higher one fo
 lower one for the deficit. Words at the leaves it reaches are compared letter by letter.
 
 The first levels of the trie are the key by which its branches are dealt to tasks; a word is sent to every
-branch that its budget reaches from the root. Branches that hold many words are replaced by their children,
-level by level, and words go on to those that they reach. Near is mutual, so only words as long or one
-letter longer are sought and each pair is found once.
+branch that its budget reaches from the root. Near is mutual, so only words as long or one letter longer
+are sought and each pair is found once. Branches of many words are cut into tiles: some of its leaves, and
+some of the words that are sought there.
 """
 
 from __future__ import annotations
@@ -18,24 +18,24 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strongbox.llm.tables import HOT_KEYS, Rows, arrow_schema, partitions, rows_of, texts, written
 from strongbox.llm.words import LOWER
 
-#: Letters are dealt to so many groups, by code point.
-GROUPS = 16
-#: Levels below the length that every branch has.
-DEPTH = 2
-#: Words of a branch above which it is replaced by its children; more, where all words are very many.
-BRANCH = 4000
+#: Frequent letters are groups of their own, the others share some: that keeps the trie's first levels wide.
+GROUPS, OWN_GROUP = 16, "etaoinsrhldc"
+GROUP_OF = np.array([OWN_GROUP.find(chr(c)) if chr(c) in OWN_GROUP else len(OWN_GROUP) + c % (GROUPS - len(OWN_GROUP)) for c in range(256)])
+#: A branch has so many words on average, or fewer: this decides how many levels its key has.
+BRANCH = 100_000
+#: Leaves and sought words of one tile; more where all words are very many.
+LEAVES, SOUGHT = 20_000, 100_000
 #: So many pairs of a word and a leaf are compared at once instead of going further down.
-FEW = 4096
+FEW = 8192
 
 
 def word_counts(docs: DataFrame, shortest: int, every: int) -> DataFrame:
@@ -70,43 +70,31 @@ def word_counts(docs: DataFrame, shortest: int, every: int) -> DataFrame:
 
 def letters(words: Sequence[str]) -> np.ndarray:
     """The code points of all words, one behind another."""
-    return np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
+    return np.frombuffer("".join(words).encode("utf-32-le"), "<i4")
 
 
 def paths(words: Sequence[str]) -> np.ndarray:
     """How many letters of each group every word has."""
     word = np.repeat(np.arange(len(words)), [len(w) for w in words])
-    return np.bincount(word * GROUPS + letters(words) % GROUPS, minlength=len(words) * GROUPS).reshape(-1, GROUPS)
+    return np.bincount(word * GROUPS + GROUP_OF[letters(words)], minlength=len(words) * GROUPS).reshape(-1, GROUPS).astype(np.int32)
 
 
-def reached(counts: list[int], length: int) -> Iterator[str]:
-    """The branches that a word's budget reaches among those of its length and of one letter more."""
-    n = len(counts)
-    steps = [(0,) * n] + [tuple(int(k == i) for k in range(n)) for i in range(n)]
-    for plus in steps:
-        yield branch([c + p for c, p in zip(counts, plus)], length + 1)
-        for minus in steps:
-            if plus != minus or not any(plus):
-                moved = [c + p - m for c, p, m in zip(counts, plus, minus)]
-                if min(moved) >= 0 and sum(moved) <= length:
-                    yield branch(moved, length)
+def moves(depth: int) -> np.ndarray:
+    """What one edit may add to a word's length and to its counts in the first groups, on the way to words of
+    its length or one letter longer."""
+    steps = [(0,) * depth] + [tuple(int(k == i) for k in range(depth)) for i in range(depth)]
+    longer = [(1, *plus) for plus in steps]
+    same = {(0, *(p - m for p, m in zip(plus, minus))) for plus in steps for minus in steps}
+    return np.array(longer + sorted(same), np.int32)
 
 
-def branch(counts: list[int], length: int) -> str:
-    return f"{length}:" + ",".join(map(str, counts))
-
-
-def children(place: str, word: str, own: list[int], is_leaf: bool) -> Iterator[str]:
-    """The children of a branch that a word reaches with what its budget has left."""
-    length, *counts = map(int, place.replace(":", ",").split(","))
-    spent = [b - a for a, b in zip(own, counts)]
-    next_ = own[len(counts)]
-    yield f"{place},{next_}"
-    if not is_leaf:
-        if sum(d for d in spent if d > 0) < 1:
-            yield f"{place},{next_ + 1}"
-        if length == len(word) and next_ and sum(-d for d in spent if d < 0) < 1:
-            yield f"{place},{next_ - 1}"
+def branches(words: list[str], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The branch of each word, and for each that its budget reaches the word and the branch. A branch is
+    the length and the counts in the first groups."""
+    own = np.column_stack([np.array([len(w) for w in words], np.int32), paths(words)[:, :depth]])
+    reach = own[:, None, :] + moves(depth)[None]
+    word, move = np.nonzero((reach >= 0).all(2))
+    return own, word, reach[word, move]
 
 
 def search(leaves: np.ndarray, asked: np.ndarray, level: int, surplus: np.ndarray, deficit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -148,30 +136,20 @@ def one_edit(longer: np.ndarray, word: np.ndarray) -> np.ndarray:
 def near_words(words: DataFrame) -> DataFrame:
     """Pairs (word, near, n) of words one edit apart, in both directions; n is that of ``near``.
     ``words`` has rows (word, n), each word once."""
-    total, routed_schema = words.count(), arrow_schema(branch=pa.string(), leaf=pa.bool_(), word=pa.string(), n=pa.int64())
+    total, depth = words.count(), 2
+    while depth < GROUPS and BRANCH * 4**depth < total:  # each level has about four branches of weight
+        depth += 1
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Rows(routed_schema, most=16384)
-        for batch in batches:
-            own = batch.column(batch.schema.get_field_index("word")).to_pylist()
-            for (word, n), counts in zip(rows_of([batch], "word", "n"), paths(own)[:, :DEPTH].tolist(), strict=True):
-                out.add(branch(counts, len(word)), True, word, n, size=len(word))
-                for other in reached(counts, len(word)):
-                    out.add(other, False, word, n, size=len(word))
-                if out.full():
-                    yield from out.take()
-        yield from out.take()
-
-    def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Rows(routed_schema, most=16384)
         for batch in batches:
-            own = batch.column(batch.schema.get_field_index("word")).to_pylist()
-            for (place, is_leaf, word, n), counts in zip(rows_of([batch], "branch", "leaf", "word", "n"), paths(own).tolist(), strict=True):
-                for child in children(place, word, counts, is_leaf):
-                    out.add(child, is_leaf, word, n, size=len(word))
-                if out.full():
-                    yield from out.take()
-        yield from out.take()
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                word, n = (part.column(part.schema.get_field_index(c)) for c in ("word", "n"))
+                own, asked, reach = branches(word.to_pylist(), depth)
+                for is_leaf, rows, keys in ((True, np.arange(len(own)), own), (False, asked, reach)):
+                    keys = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * keys.shape[1]), len(keys), [None, pa.py_buffer(keys.astype("<i4").tobytes())])
+                    leaf = pa.array(np.full(len(rows), is_leaf))
+                    yield pa.RecordBatch.from_arrays([keys.cast(pa.binary()), leaf, word.take(pa.array(rows)), n.take(pa.array(rows))], ["branch", "leaf", "word", "n"])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Rows(arrow_schema(word=pa.string(), near=pa.string(), n=pa.int64()), most=16384)
@@ -182,59 +160,72 @@ def near_words(words: DataFrame) -> DataFrame:
             order = np.lexsort(found.T[::-1])
             leaves, found = [leaves[i] for i in order], found[order]
             own = letters([w for w, _ in leaves]).reshape(-1, length)
-            level = now.count(",") + 1
             for size in (length, length - 1):
-                words = [a for a in asked if len(a[0]) == size]
-                for at in range(0, len(words), BRANCH):
-                    part = words[at : at + BRANCH]
-                    theirs, other = paths([w for w, _ in part]), letters([w for w, _ in part]).reshape(-1, size)
-                    more = found[0, :level] - theirs[:, :level]
-                    plus = 1 - np.maximum(more, 0).sum(1)
-                    minus = (1 if size == length else 0) - np.maximum(-more, 0).sum(1)
-                    for leaf, word in search(found, theirs, level, plus, minus):
-                        step = max(1, (1 << 20) // length)
-                        for k in range(0, len(leaf), step):
-                            i, j = leaf[k : k + step], word[k : k + step]
-                            fits = one_edit(own[i], other[j])
-                            for x, y in zip(i[fits].tolist(), j[fits].tolist(), strict=True):
-                                (a, n), (b, m) = leaves[x], part[y]
-                                if size < length or b < a:
-                                    out.add(a, b, m, size=2 * length)
-                                    out.add(b, a, n, size=2 * length)
-                            if out.full():
-                                yield from out.take()
-
-        now, leaves, asked = "", [], []
-        for place, is_leaf, word, n in rows_of(batches, "branch", "leaf", "word", "n"):
-            if place != now:
+                part = [a for a in asked if len(a[0]) == size]
+                if not part:
+                    continue
+                theirs, other = paths([w for w, _ in part]), letters([w for w, _ in part]).reshape(-1, size)
+                more = found[0, :depth] - theirs[:, :depth]
+                plus = 1 - np.maximum(more, 0).sum(1)
+                minus = (1 if size == length else 0) - np.maximum(-more, 0).sum(1)
+                step = max(1, (1 << 20) // length)
+                for leaf, word in gathered(search(found, theirs, depth, plus, minus), step):
+                    fits = one_edit(own[leaf], other[word])
+                    for x, y in zip(leaf[fits].tolist(), word[fits].tolist(), strict=True):
+                        (a, n), (b, m) = leaves[x], part[y]
+                        if size < length or b < a:
+                            out.add(a, b, m, size=2 * length)
+                            out.add(b, a, n, size=2 * length)
+                    if out.full():
+                        yield from out.take()
+
+        now, leaves, asked = None, [], []
+        for *key, is_leaf, word, n in rows_of(batches, "branch", "leaves", "sought", "leaf", "word", "n"):
+            if key != now:
                 if leaves and asked:
                     yield from close(leaves, asked)
-                now, leaves, asked = place, [], []
+                now, leaves, asked = key, [], []
             if is_leaf:
                 leaves.append((word, n))
             elif leaves:  # leaves come first
                 asked.append((word, n))
-                if len(asked) >= 10 * BRANCH:
+                if len(asked) >= SOUGHT:
                     yield from close(leaves, asked)
                     asked = []
         if leaves and asked:
             yield from close(leaves, asked)
         yield from out.take()
 
-    spec = "branch string, leaf boolean, word string, n long"
-    pending, done = written(words.mapInArrow(route, spec), "routed"), []
-    for _ in range(DEPTH, GROUPS):
-        full = pending.where("leaf").groupBy("branch").count().where(F.col("count") > max(BRANCH, total // HOT_KEYS)).select("branch")
-        full = F.broadcast(written(full, "full"))  # fewer than HOT_KEYS rows
-        done.append(pending.join(full, "branch", "left_anti"))
-        more = pending.join(full, "branch", "left_semi")
-        if more.isEmpty():
-            break
-        pending = written(more.mapInArrow(descend, spec), "routed")
-    else:
-        done.append(pending)  # words whose paths are the same throughout
-    dealt = reduce(DataFrame.unionByName, done).repartition(partitions(words.sparkSession), "branch")
-    return dealt.sortWithinPartitions("branch", F.desc("leaf")).mapInArrow(find, "word string, near string, n long")
+    routed = written(words.mapInArrow(route, "branch binary, leaf boolean, word string, n long"), "routed")
+    counted = routed.groupBy("branch").agg(F.count_if("leaf").alias("leaves"), F.count_if(~F.col("leaf")).alias("sought"))
+    # As each limit grows with the words, only so many branches can be over one: fewer than 20 times HOT_KEYS.
+    tiles = [F.ceil(F.col(c) / max(most, total // HOT_KEYS)).cast("int").alias(f"{c}_tiles") for c, most in (("leaves", LEAVES), ("sought", SOUGHT))]
+    counted = counted.select("branch", *tiles).where("leaves_tiles > 1 or sought_tiles > 1")
+    cut = routed.join(F.broadcast(counted), "branch", "left")
+
+    def tile(of: str, own: Column) -> Column:
+        n = F.coalesce(f"{of}_tiles", F.lit(1))
+        return F.when(own, F.array(F.pmod(F.xxhash64("word"), n).cast("int"))).otherwise(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1))
+
+    dealt = cut.select("branch", F.explode(tile("leaves", F.col("leaf"))).alias("leaves"), "leaf", "word", "n", "sought_tiles")
+    dealt = dealt.select("branch", "leaves", F.explode(tile("sought", ~F.col("leaf"))).alias("sought"), "leaf", "word", "n")
+    key = ["branch", "leaves", "sought"]
+    ordered = dealt.repartition(partitions(words.sparkSession), *key).sortWithinPartitions(*key, F.desc("leaf"))
+    return ordered.mapInArrow(find, "word string, near string, n long")
+
+
+def gathered(found: Iterator[tuple[np.ndarray, np.ndarray]], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same pairs in fewer, larger arrays of up to about ``most`` pairs."""
+    held, n = [], 0
+    for pair in found:
+        for at in range(0, len(pair[0]), most):
+            held.append(tuple(x[at : at + most] for x in pair))
+            n += len(held[-1][0])
+            if n >= most:
+                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                held, n = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
 def last_forms(forms: DataFrame) -> DataFrame:

@@ -74,10 +74,10 @@ def misspelt(draw, word):
     return draw.choice([word[:at] + word[at + 1 :], word[:at] + draw.choice(letters) + word[at:], word[:at] + draw.choice(letters) + word[at + 1 :]])
 
 
-@pytest.mark.parametrize("branch, few", [(20_000, 4096), (30, 1), (7, 64)])
-def test_branches_of_any_size(spark, monkeypatch, branch, few):
-    monkeypatch.setattr(spelling, "BRANCH", branch)
-    monkeypatch.setattr(spelling, "FEW", few)
+@pytest.mark.parametrize("branch, leaves, sought, few", [(20_000, 20_000, 20_000, 4096), (1, 3, 7, 1), (7, 5, 20_000, 64), (100, 20_000, 4, 64)])
+def test_branches_of_any_size(spark, monkeypatch, branch, leaves, sought, few):
+    for name, value in {"BRANCH": branch, "LEAVES": leaves, "SOUGHT": sought, "FEW": few}.items():
+        monkeypatch.setattr(spelling, name, value)
     draw = random.Random(branch)
     words = {"".join(draw.choices("abcdefé", k=draw.randrange(7, 11))) for _ in range(300)}
     words |= {misspelt(draw, w) for w in draw.choices(sorted(words), k=300)} | {misspelt(draw, "consonant") for _ in range(200)}
