@@ -35,6 +35,10 @@ SLACK = 2
 BLOCK = 1024
 #: So many of its tiles a node carries along there.
 LEAST_TILES = 8
+#: Slots of a bitmap for each element of a set: with few, differences fall together and cancel.
+SLOTS = 8
+#: Words of a bitmap that are compared first.
+COARSE = 8
 #: A filter of so many 64-bit words tells which documents are needed again; it is broadcast.
 FILTER_WORDS = 1 << 17
 
@@ -90,9 +94,9 @@ def signatures(h: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def bitmap(h: np.ndarray) -> np.ndarray:
-    """Parities of the set's elements in at least as many slots, a power of two from 64 on."""
+    """Parities of the set's elements in ``SLOTS`` times as many slots, a power of two from 64 on."""
     bits = 64
-    while bits < len(h):
+    while bits < SLOTS * len(h):
         bits *= 2
     slot = (mixed(h ^ MIX2) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(slot, minlength=bits) & 1).astype(np.uint8), bitorder="little").view("<u8")
@@ -267,11 +271,11 @@ def bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(bound, "a long, b long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, known: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar: by the bound first, exactly where that allows it.
+def verified(pairs: DataFrame, known: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b), which passed the bound, whose sets are similar.
 
-    ``sets`` has their sizes and bitmaps, ``known`` their texts: these are half as large as the sorted
-    arrays, which are made where the pairs meet."""
+    ``known`` has their texts: these are half as large as the sorted arrays, which are made where the
+    pairs meet."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, memo, recent = Rows(arrow_schema(a=pa.int64(), b=pa.int64())), word_hashes(), {}
@@ -292,7 +296,7 @@ def verified(pairs: DataFrame, sets: DataFrame, known: DataFrame, size: int, per
         yield from out.take()
 
     # Written down, few pairs are known to be few, and the texts needn't be shuffled.
-    pairs = written(bounded(pairs, sets, percent), "pairs")
+    pairs = written(pairs, "pairs")
     both = pairs.join(known.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(known.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     return written(both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long"), "links")
@@ -322,18 +326,20 @@ def across(tiles: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK)
             maps = [np.frombuffer(r[4], "<u8") for r in rows]
             words = min(map(len, maps))
             bits = np.stack([folded(x, words) for x in maps])
+            coarse = folded(bits, min(words, COARSE))
             none = np.iinfo(np.int64).max
             least = np.array([r[5] + [none] * (LEAST_TILES - len(r[5])) for r in rows], np.int64)
             earlier = least < key[0]
             for at in range(len(rows)):
                 later = slice(at + 1, None)
-                apart = np.bitwise_count(bits[later] ^ bits[at]).sum(1, dtype=np.int64)
                 small, large = np.minimum(n[later], n[at]), np.maximum(n[later], n[at])
                 fits = (100 * small >= percent * large) & (component[later] != component[at])
-                fits &= similar((n[later] + n[at] - apart) // 2, n[later], n[at], percent)
                 if key[1] != key[2]:
                     fits &= own[later] != own[at]
                 found = np.flatnonzero(fits) + at + 1
+                for level in (coarse, bits):
+                    apart = np.bitwise_count(level[found] ^ level[at]).sum(1, dtype=np.int64)
+                    found = found[similar((n[found] + n[at] - apart) // 2, n[found], n[at], percent)]
                 shared = (least[found][:, :, None] == least[at][earlier[at]][None, None, :]) & earlier[found][:, :, None]
                 for b in node[found[~shared.any((1, 2))]]:
                     out.add(int(min(b, node[at])), int(max(b, node[at])))
@@ -374,7 +380,7 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
 
     # First every document with the pivot that it shares most tiles with.
     best = offered.groupBy("node").agg(F.max(F.struct("n", (-F.col("pivot")).alias("pivot"))).alias("best"))
-    links = verified(best.select(F.col("node").alias("a"), (-F.col("best.pivot")).alias("b")), sets, known, size, percent)
+    links = verified(bounded(best.select(F.col("node").alias("a"), (-F.col("best.pivot")).alias("b")), sets, percent), known, size, percent)
     equal = info.where("doc_id <> same").select(F.col("doc_id").alias("a"), F.col("same").alias("b"))
     found = components(links.unionByName(equal))
 
@@ -393,7 +399,7 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
 
     # Then, for each other component that has pivots of its, the one that it shares most tiles with.
     rest = apart(found).groupBy("node", "of_pivot").agg(F.max(F.struct("n", (-F.col("pivot")).alias("pivot"))).alias("best"))
-    links = verified(rest.select(F.col("node").alias("a"), (-F.col("best.pivot")).alias("b")), sets, known, size, percent)
+    links = verified(bounded(rest.select(F.col("node").alias("a"), (-F.col("best.pivot")).alias("b")), sets, percent), known, size, percent)
     found = joined(found, links)
 
     # Then whatever else shares a tile across components. Such a tile has a pivot of another component.
@@ -402,7 +408,7 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
         open_ = tiles.join(refused, ["node", "pivot"], "left_semi").select("tile").distinct()
         held = tiles.join(open_, "tile", "left_semi").select("tile", "node").distinct()
         held = written(current(held, "node", found).withColumnRenamed("of_node", "component"), "held")
-        found = joined(found, verified(across(held, sets, percent), sets, known, size, percent))
+        found = joined(found, verified(across(held, sets, percent), known, size, percent))
     return info.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
     )
