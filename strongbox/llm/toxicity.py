@@ -95,19 +95,26 @@ class Index:
         if not len(terms) or not self.blocks:
             return []
         bounds = weights @ self.most[terms] * (1 + 1e-9)
-        best: list[tuple[float, int]] = []
+        near, scored = np.empty(0, np.int64), np.empty(0)
         for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(best) == k and bounds[b] < best[-1][0]:
+            if bounds[b] <= 0 or len(near) == k and bounds[b] < scored[-1]:
                 break
-            scores = np.zeros(self.block)
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                a, z = self.starts[t * self.blocks + b], self.starts[t * self.blocks + b + 1]
-                if a < z:
-                    scores[self.example[a:z] % self.block] += w * self.weight[a:z]
+            scores = self._scores(terms * self.blocks + b, weights, int(b))
             found = np.flatnonzero(scores)
-            best.extend((float(scores[i]), int(b) * self.block + int(i)) for i in found)
-            best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
-        return best
+            if len(found) > k:  # all that reach the k-th, ties too
+                found = found[scores[found] >= np.partition(scores[found], -k)[-k]]
+            near, scored = np.append(near, found + b * self.block), np.append(scored, scores[found])
+            order = np.lexsort((near, -scored))[:k]
+            near, scored = near[order], scored[order]
+        return list(zip(scored.tolist(), near.tolist(), strict=True))
+
+    def _scores(self, places: np.ndarray, weights: np.ndarray, block: int) -> np.ndarray:
+        """The dot products with a block's examples: the postings of all places, gathered in one step."""
+        starts = self.starts[places]
+        sizes = self.starts[places + 1] - starts
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1]) + np.repeat(starts - ends + sizes, sizes)
+        return np.bincount(self.example[at] - block * self.block, np.repeat(weights, sizes) * self.weight[at], minlength=self.block)
 
 
 @dataclass
@@ -249,10 +256,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, calibrati
     is a row out, rows without doc_id too; other columns are left out.
     """
     model, share = train(docs, labels, sample, calibration)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, out = shared.value, Rows(SCORED)
+        out = Rows(SCORED)  # the model comes with this function: it is bounded by the sample
         counts, index = (TermCounts(model.vocabulary), Index(model.vectors, len(model.vocabulary))) if model else (None, None)
         for doc_id, text in rows_of(batches, "doc_id", "text"):
             near, p = [], share
@@ -274,10 +280,8 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
     model, _ = train(docs, labels)
     if model is None:
         return docs
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         counts, index = TermCounts(model.vocabulary), Index(model.vectors, len(model.vocabulary))
         for batch in batches:
             kept = []
