@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strongbox.llm.tables import Rows, arrow_schema, texts, written
+from strongbox.llm.tables import Rows, arrow_schema, per_worker, texts, written
 
 CAPACITY, END_ID = 1024, 2
 #: Pieces of one length are ranked in so many parts, as one length may hold a third of all pieces.
@@ -41,12 +41,25 @@ JOINED_SIGNS = re.compile(r"[\W_][.,]")
 ODD = b"odd"
 
 
+class Known(dict):
+    """Ids of chunks. A chunk that is asked for and not known is noted, once, and has none until it is."""
+
+    def __init__(self, fixed: dict[str, bytes]):
+        super().__init__(fixed)
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> None:
+        self.new.append(chunk)
+        self[chunk] = None
+
+
 class TextIds:
     """Token ids of texts, by a tokenizer whose pre-tokens never hold a blank behind another character.
 
     A text is cut where the tokenizer cuts as well: in front of blanks and around line ends that have
     no white space beside them, and in front of points and commas behind letters and digits. Each
-    distinct chunk is encoded once per task. Other texts are encoded whole.
+    distinct chunk is encoded once, up to a number of chunks; then all are forgotten. Other texts are
+    encoded whole.
     """
 
     def __init__(self, path: str, most: int = 600_000, longest: int = 64):
@@ -57,7 +70,7 @@ class TextIds:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # Nothing between two cuts: white space beside white space.
         self.fixed = {"": ODD, "\n": self._encoded(["\n"])[0]}
-        self.memo: dict[str, bytes] = dict(self.fixed)
+        self.memo = Known(self.fixed)
         self.odd = False
         self.most, self.longest = most, longest
 
@@ -80,23 +93,24 @@ class TextIds:
     def of(self, many: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         if len(self.memo) > self.most:
-            self.memo = dict(self.fixed)
-        cut = [self._cut(text) for text in many]
-        known, new = self.memo.get, set()
-        found = [None if c is None else list(map(known, c)) for c in cut]
-        for chunks, ids in zip(cut, found, strict=True):
-            if chunks is not None and None in ids:
-                new.update(c for c, i in zip(chunks, ids, strict=True) if i is None)
+            self.memo, self.odd = Known(self.fixed), False
+        cut, of = [self._cut(text) for text in many], self.memo.__getitem__
+        found = [None if c is None else list(map(of, c)) for c in cut]
+        new, self.memo.new = self.memo.new, []
         odd = {c for c in new if ODD_SPACE.search(c) or c == " "}
         self.odd = self.odd or bool(odd)
         self.memo.update(dict.fromkeys(odd, ODD))
-        fresh = list(new - odd)
-        for a in range(0, len(fresh), 4096):
-            self.memo.update(zip(fresh[a : a + 4096], self._encoded(fresh[a : a + 4096]), strict=True))
+        fresh = [c for c in new if c not in odd] if odd else new
+        try:
+            for a in range(0, len(fresh), 4096):
+                self.memo.update(zip(fresh[a : a + 4096], self._encoded(fresh[a : a + 4096]), strict=True))
+        except BaseException:
+            self.memo, self.odd = Known(self.fixed), False  # no chunk may stay without ids for the next task
+            raise
         out = []
         for text, chunks, ids in zip(many, cut, found, strict=True):
             if chunks is not None and None in ids:
-                ids = list(map(self.memo.__getitem__, chunks))
+                ids = list(map(of, chunks))
             if chunks is None or (self.odd or "" in chunks) and ODD in ids:
                 out.extend(self._encoded([text]))
             else:
@@ -121,7 +135,8 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
     """Every document's ids with the end id, cut into pieces of at most the capacity."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, out, end = TextIds(tokenizer), Rows(PIECES), np.array([end_id], "<u4").tobytes()
+        ids_of = per_worker(("ids", tokenizer), lambda: TextIds(tokenizer))
+        out, end = Rows(PIECES), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256).to_pydict()

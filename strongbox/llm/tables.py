@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from types import ModuleType
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,6 +62,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def per_worker(key: tuple, make: Callable[[], object]) -> object:
+    """One object per Python worker process and key, which its tasks share one after another. Modules of
+    this package are rebuilt for every task, so it is held in a module of its own."""
+    name = "_strongbox_of_this_worker"
+    held = sys.modules.setdefault(name, ModuleType(name)).__dict__.setdefault("held", {})
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
     """The rows of Arrow batches, one at a time; a batch is turned into objects in slices."""
     for batch in batches:
