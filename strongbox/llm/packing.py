@@ -33,26 +33,14 @@ CAPACITY, END_ID = 1024, 2
 #: Pieces of one length are ranked in so many parts, as one length may hold a third of all pieces.
 PARTS = 64
 
-#: White space other than one blank in front.
-ODD_SPACE = re.compile(r"(?!^) |[^\S ]")
+#: White space other than a blank; blanks only ever start a chunk.
+ODD_SPACE = re.compile(r"[^\S ]")
 #: A point or comma behind anything but a letter or digit belongs to what is in front of it.
 JOINED_SIGNS = re.compile(r"[\W_][.,]")
 #: Stands for the ids of a chunk that doesn't tell how its text is cut.
 ODD = b"odd"
 
 
-class Known(dict):
-    """Ids of chunks. A chunk that is asked for and not known is noted, once, and has none until it is."""
-
-    def __init__(self, fixed: dict[str, bytes]):
-        super().__init__(fixed)
-        self.new: list[str] = []
-
-    def __missing__(self, chunk: str) -> None:
-        self.new.append(chunk)
-        self[chunk] = None
-
-
 class TextIds:
     """Token ids of texts, by a tokenizer whose pre-tokens never hold a blank behind another character.
 
@@ -70,7 +58,7 @@ class TextIds:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # Nothing between two cuts: white space beside white space.
         self.fixed = {"": ODD, "\n": self._encoded(["\n"])[0]}
-        self.memo = Known(self.fixed)
+        self.memo: dict[str, bytes] = dict(self.fixed)
         self.odd = False
         self.most, self.longest = most, longest
 
@@ -93,31 +81,29 @@ class TextIds:
     def of(self, many: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         if len(self.memo) > self.most:
-            self.memo, self.odd = Known(self.fixed), False
-        cut, of = [self._cut(text) for text in many], self.memo.__getitem__
+            self.memo, self.odd = dict(self.fixed), False
+        cut, seen = [self._cut(text) for text in many], set()
+        for chunks in cut:
+            seen.update(chunks or ())
+        new = seen.difference(self.memo)
+        if " " in new or ODD_SPACE.search("".join(new)):
+            odd = {c for c in new if c == " " or ODD_SPACE.search(c)}
+            self.odd = True
+            self.memo.update(dict.fromkeys(odd, ODD))
+            new -= odd
+        fresh = list(new)
+        for a in range(0, len(fresh), 4096):
+            self.memo.update(zip(fresh[a : a + 4096], self._encoded(fresh[a : a + 4096]), strict=True))
+        of = self.memo.__getitem__
         found = [None if c is None else list(map(of, c)) for c in cut]
-        new, self.memo.new = self.memo.new, []
-        odd = {c for c in new if ODD_SPACE.search(c) or c == " "}
-        self.odd = self.odd or bool(odd)
-        self.memo.update(dict.fromkeys(odd, ODD))
-        fresh = [c for c in new if c not in odd] if odd else new
-        try:
-            for a in range(0, len(fresh), 4096):
-                self.memo.update(zip(fresh[a : a + 4096], self._encoded(fresh[a : a + 4096]), strict=True))
-        except BaseException:
-            self.memo, self.odd = Known(self.fixed), False  # no chunk may stay without ids for the next task
-            raise
         out = []
         for text, chunks, ids in zip(many, cut, found, strict=True):
-            if chunks is not None and None in ids:
-                ids = list(map(of, chunks))
             if chunks is None or (self.odd or "" in chunks) and ODD in ids:
                 out.extend(self._encoded([text]))
             else:
                 out.append(b"".join(ids))
-        for chunk in new:
-            if len(chunk) > self.longest:
-                del self.memo[chunk]
+        for chunk in [c for c in fresh if len(c) > self.longest]:
+            del self.memo[chunk]
         return out
 
 
