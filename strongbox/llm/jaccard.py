@@ -36,7 +36,7 @@ BLOCK = 1024
 #: So many of its tiles a node carries along there.
 LEAST_TILES = 8
 #: Slots of a bitmap for each element of a set: with few, differences fall together and cancel.
-SLOTS = 8
+SLOTS = 2
 #: Words of a bitmap that are compared first.
 COARSE = 8
 #: A filter of so many 64-bit words tells which documents are needed again; it is broadcast.
@@ -418,3 +418,24 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` without those linked to a document with a smaller id. Rows without doc_id stay."""
     more = jaccard_join(docs, size, percent).where("component_id < doc_id").select(F.col("doc_id").alias("__doc_id")).distinct()
     return docs.join(more, docs["doc_id"] == F.col("__doc_id"), "left_anti")
+
+
+#: The links of ``size`` 4 and ``percent`` 85 in SQL: every two documents that share a shingle are compared.
+JACCARD_SQL = r"""
+with recursive split as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words
+  from documents),
+shingles as (
+  select distinct doc_id, array_to_string(words[i : i + 3], ' ') as shingle
+  from (select doc_id, words, unnest(range(1, greatest(len(words) - 2, 2))) as i from split where len(words) > 0)),
+sizes as (
+  select doc_id, count(*) as n from shingles group by doc_id),
+shared as (
+  select a.doc_id as a, b.doc_id as b, count(*) as n from shingles a join shingles b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by all),
+links as (
+  select s.a, s.b from shared s join sizes x on x.doc_id = s.a join sizes y on y.doc_id = s.b where 100 * s.n >= 85 * (x.n + y.n - s.n)),
+reached as (
+  select doc_id as a, doc_id as b from documents union select r.a, l.b from reached r join links l on l.a = r.b)
+select d.doc_id, coalesce(n, 0) as n_shingles, component_id
+from (select a as doc_id, min(b) as component_id from reached group by a) d left join sizes using (doc_id)
+"""
