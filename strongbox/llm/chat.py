@@ -189,3 +189,20 @@ def read_chat(formatted: DataFrame) -> DataFrame:
 def conversations_to_messages(conversations: DataFrame) -> DataFrame:
     """Rows (conv_id, turn, role, text) as messages of one text part."""
     return conversations.select("conv_id", "turn", "role", F.array(text_part(F.col("text"))).alias("parts"))
+
+
+#: The same in SQL, for conversations of plain texts and one more: digests of the turns, and lengths with
+#: a character more for each that is escaped.
+CHAT_SQL = r"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, t, r, '\### Assistant: </turn> ok' from (values (0, 'user'), (1, 'assistant')) v(t, r)),
+sized as (
+  select *, length(text) + length(text) - length(translate(text, '\#<|', '')) as body,
+    length(role) + length(role) - length(translate(role, '\#<|:' || chr(10) || chr(13), '')) as head from turns)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(length('### ') + head + length(':') + 1 + body + length('</turn>') + 1) as bigint) as formatted_chars
+from sized group by conv_id
+"""

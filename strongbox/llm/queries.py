@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strongbox.llm.chat import conversations_to_messages, format_chat, read_chat
-from strongbox.llm.jaccard import jaccard_join
+from strongbox.llm.chat import CHAT_SQL, conversations_to_messages, format_chat, read_chat
+from strongbox.llm.jaccard import JACCARD_SQL, jaccard_join
 from strongbox.llm.lexical import RANKED_SQL, ranked
 from strongbox.llm.line_dedup import LINE_DEDUP_SQL, line_dedup
 from strongbox.llm.neighbours import nearest_neighbours
@@ -20,7 +20,7 @@ from strongbox.llm.site_quality import site_quality
 from strongbox.llm.spelling import SPELLING_SQL, spelling_variants
 from strongbox.llm.tables import table
 from strongbox.llm.toxicity import toxicity
-from strongbox.llm.warc import read_warc, write_warc
+from strongbox.llm.warc import WARC_SQL, read_warc, write_warc
 from strongbox.workspace import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,9 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_chat(format_chat(conversations_to_messages(given.unionAll(added))))
 
 
+SQL["op1_chat_formatting"] = CHAT_SQL
+
+
 @query
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_deleted")
@@ -66,6 +69,9 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+SQL["op4_ngram_jaccard"] = JACCARD_SQL
+
+
 @query
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -78,6 +84,9 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(spark, path)
 
 
+SQL["op6_warc"] = WARC_SQL
+
+
 @query
 def op7_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

@@ -293,3 +293,14 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     )
     joined = reassemble(found.where("block is not null"))
     return whole.unionByName(joined.withColumns({"record_type": F.lit("response"), "refers_to": F.lit(None).cast("long")}))
+
+
+#: The same in SQL, read off the pages.
+WARC_SQL = """
+with sized as (
+  select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as payload_digest,
+    max(page_id) over (partition by coalesce(html, '')) as last from pages where page_id is not null)
+select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest,
+  if(payload_bytes >= 1000 and page_id < last, 'revisit', 'response') as record_type, if(payload_bytes >= 1000 and page_id < last, last, null) as refers_to
+from sized
+"""
