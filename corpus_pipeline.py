@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strongbox.llm.jaccard import one_of_each
 from strongbox.llm.line_dedup import line_dedup
@@ -33,8 +34,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest id."""
-    return one_of_each(docs)
+    """One document of each group of near duplicates: that with the smallest id. Documents without a word,
+    which line dedup has left empty because earlier ones hold all of their lines, go as well."""
+    return one_of_each(docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
