@@ -302,6 +302,15 @@ def verified(pairs: DataFrame, known: DataFrame, size: int, percent: int) -> Dat
     return written(both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long"), "links")
 
 
+def different(tiles: DataFrame) -> DataFrame:
+    """One tile for each set of members: documents that share a passage share many tiles, and comparing
+    them in one of these does. Sets are told apart by their size and two hashes of 64 bits."""
+    members = tiles.groupBy("tile").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")
+    )
+    return members.groupBy("n", "x", "y").agg(F.min("tile").alias("tile")).select("tile")
+
+
 def across(tiles: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     """Pairs (a, b) of different components in a tile whose bitmaps allow the similarity.
 
@@ -406,8 +415,9 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     refused = written(apart(found).select("node", "pivot"), "refused")
     if not refused.isEmpty():
         open_ = tiles.join(refused, ["node", "pivot"], "left_semi").select("tile").distinct()
-        held = tiles.join(open_, "tile", "left_semi").select("tile", "node").distinct()
-        held = written(current(held, "node", found).withColumnRenamed("of_node", "component"), "held")
+        held = written(tiles.join(open_, "tile", "left_semi").select("tile", "node").distinct(), "held")
+        held = current(held.join(different(held), "tile", "left_semi"), "node", found)
+        held = written(held.withColumnRenamed("of_node", "component"), "held")
         found = joined(found, verified(across(held, sets, percent), known, size, percent))
     return info.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
