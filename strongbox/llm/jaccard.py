@@ -39,6 +39,8 @@ LEAST_TILES = 8
 SLOTS = 2
 #: Words of a bitmap that are compared first.
 COARSE = 8
+#: Signatures that a task holds before it gives them out, and words whose hashes it remembers.
+HELD, REMEMBERED = 1_000_000, 150_000
 #: A filter of so many 64-bit words tells which documents are needed again; it is broadcast.
 FILTER_WORDS = 1 << 17
 
@@ -141,7 +143,7 @@ def members(docs: DataFrame, size: int, percent: int) -> DataFrame:
     buckets = partitions(spark) * 8
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, bands = word_hashes(), Bands(percent)
+        memo, bands = word_hashes(most=REMEMBERED), Bands(percent)
         sigs, nodes, info, known, held = [], [], [], {}, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -177,7 +179,7 @@ def members(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     nodes.append(np.full(len(own), doc_id, np.int64))
                     held += len(own)
             info.append((doc_id, len(h), same))
-            if held >= 2_000_000 or len(info) >= 100_000:
+            if held >= HELD or len(info) >= 100_000:
                 yield from flush()
                 sigs, nodes, info, known, held = [], [], [], {}, 0
         yield from flush()
@@ -239,7 +241,7 @@ def signed(known: DataFrame, size: int) -> DataFrame:
     """Size and bitmap of documents' sets."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, out = word_hashes(), Rows(SIGNED)
+        memo, out = word_hashes(most=REMEMBERED), Rows(SIGNED)
         for node, text in rows_of(batches, "node", "text"):
             h = _set(text, size, memo)
             if len(h):
@@ -278,7 +280,7 @@ def verified(pairs: DataFrame, known: DataFrame, size: int, percent: int) -> Dat
     pairs meet."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, memo, recent = Rows(arrow_schema(a=pa.int64(), b=pa.int64())), word_hashes(), {}
+        out, memo, recent = Rows(arrow_schema(a=pa.int64(), b=pa.int64())), word_hashes(most=REMEMBERED), {}
 
         def of(node: int, text: str) -> np.ndarray:
             if (node, text) not in recent:

@@ -33,8 +33,8 @@ class Memo(dict):
         return value
 
 
-def word_hashes(seed: int = 0) -> Memo:
-    return Memo(lambda w: xxhash.xxh64_intdigest(w, seed))
+def word_hashes(seed: int = 0, most: int = 400_000) -> Memo:
+    return Memo(lambda w: xxhash.xxh64_intdigest(w, seed), most)
 
 
 def hashed(words: list[bytes], memo: Memo) -> np.ndarray:
