@@ -46,11 +46,11 @@ class TextIds:
 
     A text is cut where the tokenizer cuts as well: in front of blanks and around line ends that have
     no white space beside them, and in front of points and commas behind letters and digits. Each
-    distinct chunk is encoded once, up to a number of chunks; then all are forgotten. Other texts are
-    encoded whole.
+    distinct chunk is encoded once and remembered, up to a number of chunks; then those that were not
+    met since the last time this happened are forgotten. Other texts are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 600_000, longest: int = 64):
+    def __init__(self, path: str, most: int = 300_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
@@ -58,9 +58,14 @@ class TextIds:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # Nothing between two cuts: white space beside white space.
         self.fixed = {"": ODD, "\n": self._encoded(["\n"])[0]}
+        self.forget()
+        self.most, self.longest = most, longest
+
+    def forget(self) -> None:
+        """Gives back the memory of what was remembered."""
         self.memo: dict[str, bytes] = dict(self.fixed)
+        self.older: dict[str, bytes] = {}
         self.odd = False
-        self.most, self.longest = most, longest
 
     def _encoded(self, chunks: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
@@ -81,11 +86,14 @@ class TextIds:
     def of(self, many: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         if len(self.memo) > self.most:
-            self.memo, self.odd = dict(self.fixed), False
+            self.memo, self.older = dict(self.fixed), self.memo
         cut, seen = [self._cut(text) for text in many], set()
         for chunks in cut:
             seen.update(chunks or ())
         new = seen.difference(self.memo)
+        again = new.intersection(self.older)
+        self.memo.update({c: self.older[c] for c in again})
+        new -= again
         if " " in new or ODD_SPACE.search("".join(new)):
             odd = {c for c in new if c == " " or ODD_SPACE.search(c)}
             self.odd = True
@@ -123,16 +131,19 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = per_worker(("ids", tokenizer), lambda: TextIds(tokenizer))
         out, end = Rows(PIECES), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256).to_pydict()
-                for doc_id, ids in zip(part["doc_id"], ids_of.of(part["text"]), strict=True):
-                    ids += end
-                    for n, (at, length) in enumerate(cut_pieces(len(ids) // 4, capacity)):
-                        out.add(doc_id, n, at, length, zlib.crc32(ids[4 * at : 4 * (at + length)]))
-                if out.full():
-                    yield from out.take()
-        yield from out.take()
+        try:
+            for batch in batches:
+                for start in range(0, batch.num_rows, 256):
+                    part = batch.slice(start, 256).to_pydict()
+                    for doc_id, ids in zip(part["doc_id"], ids_of.of(part["text"]), strict=True):
+                        ids += end
+                        for n, (at, length) in enumerate(cut_pieces(len(ids) // 4, capacity)):
+                            out.add(doc_id, n, at, length, zlib.crc32(ids[4 * at : 4 * (at + length)]))
+                    if out.full():
+                        yield from out.take()
+            yield from out.take()
+        finally:
+            ids_of.forget()  # the tokenizer stays with the worker, what it has read does not
 
     return texts(docs).mapInArrow(make, PIECES_DDL)
 
