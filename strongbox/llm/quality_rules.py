@@ -135,18 +135,28 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * score + self.shift, -30, 30))))
 
 
+#: Entries of the matrix that the driver takes at once.
+AT_ONCE = 1 << 18
+
+
 def logistic(rows: np.ndarray, slots: np.ndarray, values: np.ndarray, y: np.ndarray, width: int, l2: float = 1e-3, steps: int = 150):
     """Weights and bias by accelerated gradient descent; rows, slots, values are a sparse matrix."""
     n, w, b = len(y), np.zeros(width), 0.0
     ahead_w, ahead_b, t = w, b, 1.0
-    norm = np.bincount(rows, np.square(values, dtype=np.float64), n).max() if n else 1.0
+    norm = np.bincount(rows, np.square(values), n).max() if n else 1.0
     rate = 1.0 / (0.25 * (norm + 1) + l2)
     weigh = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     rate = min(rate * 4, 1 / (0.25 * norm * 0.25 + l2))
+    parts = [slice(at, at + AT_ONCE) for at in range(0, len(slots), AT_ONCE)]
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, values * ahead_w[slots], n) + ahead_b, -30, 30)))
+        score, slope = np.zeros(n), np.zeros(width)
+        for part in parts:
+            score += np.bincount(rows[part], values[part] * ahead_w[slots[part]], n)
+        p = 1 / (1 + np.exp(-np.clip(score + ahead_b, -30, 30)))
         g = (p - y) * weigh
-        new_w = ahead_w - rate * (np.bincount(slots, values * g[rows], width) + l2 * ahead_w)
+        for part in parts:
+            slope += np.bincount(slots[part], values[part] * g[rows[part]], width)
+        new_w = ahead_w - rate * (slope + l2 * ahead_w)
         new_b = ahead_b - rate * g.sum()
         t, before = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
         ahead_w, ahead_b = new_w + (before - 1) / t * (new_w - w), new_b + (before - 1) / t * (new_b - b)
@@ -211,7 +221,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, calibration:
     rows, held = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), int((~learn).sum())
     first = int(sizes[:held].sum())
     weights, bias = logistic(rows[first:] - np.int32(held), slots[first:], values[first:], y[learn], SLOTS)
-    scores = np.bincount(rows, values * weights[slots], len(sizes)) + bias
+    ends = np.cumsum(sizes)
+    scores = np.array([values[e - n : e] @ weights[slots[e - n : e]] for e, n in zip(ends, sizes, strict=True)]) + bias
     check = ~learn if 0 < y[~learn].sum() < (~learn).sum() else learn
     return Model(weights, bias, *platt(scores[check], y[check]))
 
