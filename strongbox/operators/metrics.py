@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from strongbox.functions.status import heap_usage
 from strongbox.operators.backups import bounded_lists
-from strongbox.operators.joins import join_on
-from strongbox.operators.ordered import MAX_ROWS, running
+from strongbox.operators.ordered import MAX_ROWS, running_in, slice_hot_keys
 from strongbox.schemas import TABLE_METRICS
 
 PERCENTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
@@ -18,25 +17,28 @@ def execution_times(points: DataFrame, by: Sequence[str], elapsed: str = "elapse
     """Count, sum, min, max, mean and exact percentiles of elapsed times.
 
     Times are whole milliseconds. They are counted per distinct value first, so that a group
-    comes down to its histogram; percentiles are then read off the running counts.
+    comes down to its histogram; percentiles are then read off the counts up to and from each value,
+    whose sum is that of the group: no group has to meet its total in a join.
     """
     by = list(by)
     histogram = points.where(F.col(elapsed).isNotNull()).groupBy(*by, elapsed).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running(histogram, by, [elapsed], {"_upto": ("sum", F.col("_n"))}, max_rows=max_rows)
-    totals = histogram.groupBy(*by).agg(
-        F.sum("_n").alias("n"),
-        F.sum(F.col(elapsed) * F.col("_n")).alias("total_ms"),
-        F.min(elapsed).alias("min_ms"),
-        F.max(elapsed).alias("max_ms"),
-    )
-    placed = join_on(ranked, totals, by)
+    sliced = slice_hot_keys(histogram, by, [elapsed], max_rows)
+    upto = running_in(sliced, [elapsed], {"_upto": ("sum", F.col("_n"))})
+    ranked = running_in(upto, [elapsed], {"_from": ("sum", F.col("_n"))}, descending=True).rows
+    placed = ranked.withColumn("_all", F.col("_upto") + F.col("_from") - F.col("_n"))
     picks = []
     for name, share in PERCENTILES.items():
-        at = F.lit(share) * (F.col("n") - 1)
+        at = F.lit(share) * (F.col("_all") - 1)
         for end, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
             here = (F.col("_upto") - F.col("_n") <= rank) & (rank < F.col("_upto"))
             picks.append(F.max(F.when(here, F.col(elapsed))).alias(f"_{name}_{end}"))
-    picked = placed.groupBy(*by, "n", "total_ms", "min_ms", "max_ms").agg(*picks)
+    picked = placed.groupBy(*by).agg(
+        F.sum("_n").alias("n"),
+        F.sum(F.col(elapsed) * F.col("_n")).alias("total_ms"),
+        F.min(elapsed).alias("min_ms"),
+        F.max(elapsed).alias("max_ms"),
+        *picks,
+    )
     exact = {}
     for name, share in PERCENTILES.items():
         at = F.lit(share) * (F.col("n") - 1)

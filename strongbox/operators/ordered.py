@@ -1,9 +1,10 @@
 """Work that needs the rows of a key in order, split so that no key has to fit in one task.
 
 A window or a grouped function puts all rows of a key into one task. Here the keys with more
-than ``max_rows`` rows are found first (a count with map-side combine) and cut into slices that
-follow the order. Slices are computed on their own, and what one slice hands to the next is
-folded over the slices only. Without such a key the plan is the plain window.
+than ``max_rows`` rows are found first (a count with map-side combine), and their rows are partitioned
+by ranges of key and order, which Spark balances by sampling. A range of a key is a slice: slices are
+computed on their own, and what one slice hands to the next is a window over the slices' totals. There
+are at most as many carried totals as ranges. Without such a key the plan is the plain window.
 """
 
 from collections.abc import Iterator, Sequence
@@ -17,11 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strongbox.operators.joins import SMALL_TABLE_ROWS, join_on
+from strongbox.workspace import new_folder
 
 MAX_ROWS = 5_000_000
 MAX_GROUP_ROWS = 1_000_000  # for groups that become a pandas frame
-SLICES_PER_LIMIT = 4
-MAX_LEVELS = 6
+SLICES_PER_LIMIT = 4  # ranges are balanced by a sample: this leaves room for those that come out larger
 
 
 def micros(column: str | Column) -> Column:
@@ -47,52 +48,29 @@ class Sliced:
 
 
 def slice_hot_keys(rows: DataFrame, keys: Sequence[str], order: Sequence[str], max_rows: int) -> Sliced:
-    """Cut every key with more than ``max_rows`` rows along its order columns (whole numbers).
+    """Cut every key with more than ``max_rows`` rows along its order columns, which leave no ties.
 
-    A slice is an equal share of the measured range, so a slice that a burst still fills is cut
-    again, and rows that share the first order column are cut by the next one.
+    The driver sees how many such keys there are and how many rows they have. Those rows are written down
+    in their ranges, so that every pass over them sees the same ones; rows of other keys stay where they
+    are. ``_hot`` tells them apart, ``_range`` numbers the ranges.
     """
-    keys, slices, count = list(keys), [], 0
-    rows = rows.withColumn("_cut", F.lit(True))
-    for level in range(MAX_LEVELS):
-        group = keys + slices
-        bounds = [f(o).alias(f"_{n}{i}") for i, o in enumerate(order) for n, f in (("lo", F.min), ("hi", F.max))]
-        counts = rows.where("_cut").groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), *bounds)
-        # At most one row per max_rows input rows.
-        crowded = counts.where(F.col("_n") > max_rows).collect()
-        cuts = [(*[r[g] for g in group], *_cut(r, len(order), max_rows)) for r in crowded]
-        cuts = [c for c in cuts if c[-1] is not None]
-        if not cuts:
-            break
-        count += sum(SLICES_PER_LIMIT * -(-r["_n"] // max_rows) for r in crowded)
-        schema = T.StructType(
-            [T.StructField(g, rows.schema[g].dataType) for g in group]
-            + [T.StructField("_by", T.IntegerType()), T.StructField("_lo", T.LongType()), T.StructField("_width", T.LongType())]
-        )
-        table = rows.sparkSession.createDataFrame(cuts, schema)
-        position = F.coalesce(*[F.when(F.col("_by") == i, F.col(o).cast("long")) for i, o in enumerate(order)])
-        name = f"_slice{level}"
-        rows = (
-            join_on(rows, table, group, "left", small=len(cuts) <= SMALL_TABLE_ROWS)
-            .withColumns(
-                {
-                    name: F.coalesce(F.floor((position - F.col("_lo")) / F.col("_width")), F.lit(0)),
-                    "_cut": F.col("_width").isNotNull(),
-                }
-            )
-            .drop("_by", "_lo", "_width")
-        )
-        slices.append(name)
-    return Sliced(rows.drop("_cut"), keys, slices, count)
-
-
-def _cut(stats, n_order: int, max_rows: int) -> tuple[int, int, int | None]:
-    parts = SLICES_PER_LIMIT * -(-stats["_n"] // max_rows)
-    for i in range(n_order):
-        low, high = stats[f"_lo{i}"], stats[f"_hi{i}"]
-        if low is not None and high > low:
-            return i, low, (high - low) // parts + 1
-    return 0, 0, None
+    keys = list(keys)
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_rows)
+    n_rows = counts.agg(F.sum("_n")).first()[0]
+    if n_rows is None:
+        return Sliced(rows, keys, [], 0)
+    found = _written(counts, "hot-keys")
+    ranges = SLICES_PER_LIMIT * -(-n_rows // max_rows)
+    hot = join_on(rows, found.select(*keys), keys, "left_semi").repartitionByRange(ranges, *keys, *order)
+    hot = _written(hot.withColumns({"_hot": F.lit(1), "_range": F.spark_partition_id()}), "ranges")
+    cold = join_on(rows, found.select(*keys), keys, "left_anti").withColumns({"_hot": F.lit(0), "_range": F.lit(0)})
+    return Sliced(hot.unionByName(cold), keys, ["_hot", "_range"], ranges)
+
+
+def _written(rows: DataFrame, name: str) -> DataFrame:
+    place = new_folder(rows.sparkSession, name)
+    rows.write.parquet(place)
+    return rows.sparkSession.read.schema(rows.schema).parquet(place)
 
 
 COMBINE = {
