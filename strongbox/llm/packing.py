@@ -91,9 +91,9 @@ class TextIds:
         for chunks in cut:
             seen.update(chunks or ())
         new = seen.difference(self.memo)
-        again = new.intersection(self.older)
-        self.memo.update({c: self.older[c] for c in again})
-        new -= again
+        again = {c: self.older[c] for c in new if c in self.older}
+        self.memo.update(again)
+        new.difference_update(again)
         if " " in new or ODD_SPACE.search("".join(new)):
             odd = {c for c in new if c == " " or ODD_SPACE.search(c)}
             self.odd = True
