@@ -6,10 +6,11 @@ lines are held back, and the events that wait; all of it is Spark's own state, w
 earliest event that waits.
 """
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -20,10 +21,16 @@ from strongbox.schemas import PROGRESS_INTERVAL_MS
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 LINES = "file_id bigint, seq bigint, t bigint, kind string, bytes bigint, bytes_done bigint"
+WAITING = "t array<bigint>, seq array<bigint>, kind array<string>, bytes array<bigint>"
+BLOCK = 10_000  # events
 
 
 class Progress(StatefulProcessor):
-    """Shows BYTES only when the interval has passed since the last one shown, other kinds always."""
+    """Shows BYTES only when the interval has passed since the last one shown, other kinds always.
+
+    Every call of the state goes through a socket, so events wait in blocks: up to BLOCK events of a file
+    that come together are one value of the state.
+    """
 
     def __init__(self, wait: int, counted: tuple[str, ...]):
         self.wait, self.counted = wait, counted
@@ -31,37 +38,44 @@ class Progress(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.file = handle.getValueState("file", "moved bigint, until bigint")
-        self.waiting = handle.getMapState("waiting", "t bigint, seq bigint", "kind string, bytes bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        earliest = None
-        for batch in rows:
-            for t, seq, kind, size in batch[["t", "seq", "kind", "bytes"]].itertuples(index=False, name=None):
-                self.waiting.updateValue((int(t), int(seq)), (kind, None if pd.isna(size) else int(size)))
-                earliest = int(t) if earliest is None else min(earliest, int(t))
+        self.waiting = handle.getListState("waiting", WAITING)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        earliest, rows = None, iter(rows)
+        while events := [(r["t"], r["seq"], r["kind"], r["bytes"]) for r in islice(rows, BLOCK)]:
+            self._wait(events)
+            first = min(t for t, *_ in events)
+            earliest = first if earliest is None else min(earliest, first)
         if earliest is not None:
             self.handle.registerTimer(earliest // 1000)
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs()
+        # An event that came again replaces the one before.
+        held = {(t, seq): (kind, size) for block in self.waiting.get() for t, seq, kind, size in zip(*block, strict=True)}
+        events = [(*event, *held[event]) for event in sorted(held)]
+        taken = bisect_right(events, passed, key=lambda e: e[0] // 1000)
+        if not taken:  # an earlier timer took them; those that are left have one of their own
+            return
         moved, until = self.file.get() if self.file.exists() else (0, None)
-        waiting = sorted((event, what) for event, what in self.waiting.iterator())
         lines = []
-        for (t, seq), (kind, size) in waiting:
-            if t // 1000 > passed:
-                self.handle.registerTimer(t // 1000)
-                break
+        for t, seq, kind, size in events[:taken]:
             until = t + self.wait if until is None else until
             moved += (size or 0) if kind in self.counted else 0
             if kind != "BYTES" or t > until:
-                lines.append((key[0], seq, t, kind, size, moved))
+                lines.append(Row(file_id=key[0], seq=seq, t=t, kind=kind, bytes=size, bytes_done=moved))
                 until = t + self.wait if kind == "BYTES" else until
-            self.waiting.removeKey((t, seq))
         self.file.update((moved, until))
-        if lines:
-            names = [f.split()[0] for f in LINES.split(", ")]
-            yield pd.DataFrame(lines, columns=names).astype({"bytes": "Int64"})
+        self.waiting.clear()
+        if taken < len(events):
+            self._wait(events[taken:])
+            self.handle.registerTimer(events[taken][0] // 1000)
+        yield from lines
+
+    def _wait(self, events: list[tuple]) -> None:
+        for a in range(0, len(events), BLOCK):
+            self.waiting.appendValue(tuple(map(list, zip(*events[a : a + BLOCK], strict=True))))
 
 
 def reordered_progress_stream(
@@ -77,7 +91,7 @@ def reordered_progress_stream(
     counted = ("BYTES", "PART") if count_parts else ("BYTES",)
     events = stream.select("file_id", F.col("seq").cast("bigint").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), "kind", "bytes")
     keyed = events.withColumn("t", micros("ts")).withWatermark("ts", delay).groupBy("file_id")
-    lines = keyed.transformWithStateInPandas(Progress(interval_ms * 1000, counted), LINES, "Append", "EventTime")
+    lines = keyed.transformWithState(Progress(interval_ms * 1000, counted), LINES, "Append", "EventTime")
 
     def write(batch: DataFrame, n: int) -> None:
         shown = bytes_to_mb(batch, "bytes_done").withColumn("ts", F.timestamp_micros("t"))
