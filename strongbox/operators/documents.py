@@ -16,6 +16,8 @@ from strongbox.schemas import TABLE_METRICS
 
 #: Buckets of a histogram; values above the last offset go into one more.
 BUCKETS = 90
+#: Tasks that write the records of nodes, so that a slow one doesn't hold up the rest.
+TASKS_PER_CORE = 8
 PERCENTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 
 
@@ -109,7 +111,8 @@ def node_status(nodes: DataFrame, keyspaces: DataFrame, ages: DataFrame, as_of:
     ``nodes`` has cluster, dc, rack, host_id, live, heap_used_bytes, heap_max_bytes and, where they are known,
     partitioner, schema_version, uptime, current_generation_number, load_string and operations_mode;
     ``keyspaces`` cluster and keyspace; ``ages`` is the result of ``backup_age_minutes``. Lists of nodes are
-    those of the cluster, which every record repeats.
+    those of the cluster, which every record repeats: they are written as text once for each cluster, and
+    go into the records as the last step, so no shuffle carries them.
     """
     optional = ["partitioner", "schema_version", "uptime", "current_generation_number", "load_string", "operations_mode"]
     present = heap_usage(nodes).withColumns({c: F.lit(None).cast("string") for c in optional if c not in nodes.columns})
@@ -118,12 +121,25 @@ def node_status(nodes: DataFrame, keyspaces: DataFrame, ages: DataFrame, as_of:
         return F.sort_array(F.collect_list(F.when(F.col("live") == F.lit(live), F.col("host_id"))))
 
     addresses = F.map_from_entries(F.sort_array(F.collect_list(F.struct("host_id", F.concat_ws("/", "dc", "rack")))))
-    clusters = present.groupBy("cluster").agg(hosts(True).alias("live_nodes"), hosts(False).alias("unreachable_nodes"), addresses.alias("host_id_map"))
+    clusters = nodes.groupBy("cluster").agg(hosts(True).alias("live_nodes"), hosts(False).alias("unreachable_nodes"), addresses.alias("host_id_map"))
     spaces = keyspaces.groupBy("cluster").agg(F.sort_array(F.collect_set("keyspace")).alias("keyspaces"))
+    lists = clusters.join(spaces, "cluster", "left").select("cluster", _fields("host_id_map", "keyspaces").alias("_names"), _fields("live_nodes", "unreachable_nodes").alias("_nodes"))
     backups = [f"last_{kind}_backup{part}" for kind in ("snap", "sst", "cl") for part in ("", "_filecount", "_age_mins")]
-    whole = present.join(clusters, "cluster").join(spaces, "cluster", "left").join(ages.select("host_id", *backups), "host_id", "left")
+    known = present.join(ages.select("host_id", *backups), "host_id", "left")
     unknown = {b: F.coalesce(b, F.lit("(null)") if b.endswith("backup") else F.lit(-1).cast("bigint")) for b in backups}
-    fields = ["cluster", "rack", "dc", "host_id", "host_id_map", "keyspaces", *optional, "heap_usage", "heap_usage_perc", "live_nodes", "unreachable_nodes"]
     now = snapshot_name(F.lit(as_of).cast("timestamp")).alias("datetime_now")
-    record = F.struct(*fields, now, *[c.alias(n) for n, c in unknown.items()])
-    return whole.select("host_id", F.to_json(record, {"ignoreNullFields": "false"}).alias("status"))
+    own = known.select(
+        "cluster", "host_id", _fields("cluster", "rack", "dc", "host_id").alias("_place"), _fields(*optional, "heap_usage", "heap_usage_perc").alias("_state"),
+        _fields(now, *[c.alias(n) for n, c in unknown.items()]).alias("_backups"),
+    )
+    # The rows are few and small before they meet the lists (a row per cluster, which fits into one document)
+    # and large after it: they are spread here, by a number that Spark doesn't lower for their size.
+    context = nodes.sparkSession.sparkContext
+    spread = own.repartition(max(TASKS_PER_CORE * context.defaultParallelism, 1), "host_id")
+    whole = spread.join(F.broadcast(lists), "cluster")
+    return whole.select("host_id", F.concat(F.lit("{"), F.concat_ws(",", "_place", "_names", "_state", "_nodes", "_backups"), F.lit("}")).alias("status"))
+
+
+def _fields(*columns: Column | str) -> Column:
+    """The fields of a JSON object, without its braces."""
+    return F.regexp_extract(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), r"(?s)^\{(.*)\}$", 1)

@@ -43,6 +43,12 @@ def metric_documents(spark, sf_dir):
     return read.withColumns({"mean": F.round("mean", 6), **{p: F.col(p).cast("bigint") for p in documents.PERCENTILES}}).drop("text")
 
 
+#: What is read of a status record. Its lists have an entry for every node of the cluster: one pass over the
+#: text takes a fifth of the time that a variant takes.
+STATUS = """cluster string, rack string, dc string, host_id_map map<string,string>, keyspaces array<string>, heap_usage string, heap_usage_perc double,
+    live_nodes array<string>, unreachable_nodes array<string>, datetime_now string, last_snap_backup string, last_sst_backup_filecount bigint, last_cl_backup_age_mins bigint"""
+
+
 @query(
     "node_status",
     AGES + HEAP.replace("with heap", ", heap", 1) + f""", fleet as (select count(*) filter (where live) as up, count(*) filter (where not live) as down from v_nodes)
@@ -56,18 +62,19 @@ def node_status(spark, sf_dir):
     """The whole status record of every node, read back from its document."""
     nodes = view(spark, sf_dir, "v_nodes").withColumn("cluster", F.lit("main"))
     spaces = view(spark, sf_dir, "v_keyspaces").withColumn("cluster", F.lit("main"))
-    made = documents.node_status(nodes, spaces, ages(spark, sf_dir), AS_OF).withColumn("v", F.parse_json("status"))
+    made = documents.node_status(nodes, spaces, ages(spark, sf_dir), AS_OF)
+    read = made.select("host_id", "status", F.from_json("status", STATUS, {"mode": "FAILFAST"}).alias("v"))
 
-    def of(name: str, kind: str = "string"):
-        return F.variant_get("v", f"$.{name}", kind)
+    def of(name: str):
+        return F.col("v")[name]
 
-    return made.select(
+    return read.select(
         "host_id", *[of(n).alias(n) for n in ("cluster", "rack", "dc", "heap_usage", "datetime_now", "last_snap_backup")],
-        F.round(of("heap_usage_perc", "double"), 6).alias("heap_usage_perc"),
-        *[F.size(of(n, "array<string>")).cast("bigint").alias(n) for n in ("live_nodes", "unreachable_nodes", "keyspaces")],
-        of("host_id_map", "map<string,string>")[F.col("host_id")].alias("own_address"),
+        F.round(of("heap_usage_perc"), 6).alias("heap_usage_perc"),
+        *[F.size(of(n)).cast("bigint").alias(n) for n in ("live_nodes", "unreachable_nodes", "keyspaces")],
+        of("host_id_map")[F.col("host_id")].alias("own_address"),
         F.json_object_keys("status").alias("_keys"),
-        *[of(n, "bigint").alias(n) for n in ("last_sst_backup_filecount", "last_cl_backup_age_mins")],
+        *[of(n).alias(n) for n in ("last_sst_backup_filecount", "last_cl_backup_age_mins")],
     ).withColumn("fields", F.size("_keys").cast("bigint")).drop("_keys")
 
 

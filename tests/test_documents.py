@@ -105,3 +105,26 @@ def test_a_compaction_that_broke_off(spark, tmp_path, broken, monkeypatch):
     counters.compact_counters(spark, place)
     assert counters.read_counters(spark, place).agg(F.sum("n")).first()[0] == 3
     assert len(list((tmp_path / "out/sums").iterdir())) == 1
+
+
+def test_no_shuffle_carries_the_lists_of_nodes(spark):
+    names = "cluster string, dc string, rack string, host_id string, live boolean, heap_used_bytes bigint, heap_max_bytes bigint"
+    nodes = spark.createDataFrame([("a", "d", 'r"1', "h1", True, 1 << 20, 1 << 22), ("a", "d", None, "h2", False, 0, 0), ("b", "e", "r}", "h3", True, 0, 1)], names)
+    spaces = spark.createDataFrame([("a", "k2"), ("a", "k1")], "cluster string, keyspace string")
+    kinds = {f"last_{kind}_backup{part}": "string" if part == "" else "bigint" for kind in ("snap", "sst", "cl") for part in ("", "_filecount", "_age_mins")}
+    ages = spark.createDataFrame([("h1", *[str(7) if of == "string" else 7 for of in kinds.values()])], ", ".join(["host_id string", *map(" ".join, kinds.items())]))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with many hosts
+    try:
+        made = documents.node_status(nodes, spaces, ages, "2024-02-01 00:00:00")
+        plan = made._jdf.queryExecution().executedPlan().toString().splitlines()
+        found = {r.host_id: json.loads(r.status) for r in made.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    last = next(i for i, line in enumerate(plan) if "Join" in line)
+    assert "Broadcast" in plan[last] and not [line for line in plan[:last] if "Exchange" in line]
+    assert list(found["h1"])[:6] == ["cluster", "rack", "dc", "host_id", "host_id_map", "keyspaces"] and all(len(s) == 26 for s in found.values())
+    assert found["h1"]["host_id_map"] == {"h1": 'd/r"1', "h2": "d"} == found["h2"]["host_id_map"]
+    assert (found["h1"]["live_nodes"], found["h2"]["unreachable_nodes"], found["h3"]["live_nodes"]) == (["h1"], ["h2"], ["h3"])
+    assert (found["h1"]["keyspaces"], found["h3"]["keyspaces"], found["h2"]["rack"]) == (["k1", "k2"], None, None)
+    assert (found["h1"]["last_sst_backup"], found["h2"]["last_sst_backup"], found["h3"]["last_cl_backup_age_mins"]) == ("7", "(null)", -1)
