@@ -2,13 +2,13 @@
 
 import gzip
 import hashlib
-import io
 import posixpath
 import tarfile
 import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +24,7 @@ PACK_FILES = 100_000
 STORE_ONLY = 0  # gzip level: data files are compressed already
 COPY_BUFFER = 524288
 MEMBERS_PER_BATCH = 1000
+PACKED = pa.schema([("archive", pa.string()), ("member", pa.string()), ("length", pa.int64()), ("sha256", pa.string())])
 
 
 def with_packs(files: DataFrame, group: Sequence[str], pack_bytes: int = PACK_BYTES, pack_files: int = PACK_FILES) -> DataFrame:
@@ -59,21 +60,23 @@ def pack_archives(
         "archive", F.concat(F.lit("compressed-"), archive_id(*group, "pack_no"), F.lit(".tar.gz"))
     )
     source = "content" if "content" in files.columns else "path"
-    schema = T.StructType([f for f in MEMBERS.fields if f.name in ("archive", "member", "length", "sha256")])
+    schema = T.StructType([f for f in MEMBERS.fields if f.name in PACKED.names])
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, writer = None, None
         try:
             for batch in batches:
                 rows = []
-                for archive, member, value in zip(batch["archive"], batch["member"], batch[source]):
+                columns = [batch.column(batch.schema.get_field_index(c)) for c in ("archive", "member", source)]
+                for archive, member, value in zip(*columns, strict=True):  # one row is a Python object at a time
+                    archive, member = archive.as_py(), member.as_py()
                     if archive != current:
                         if writer:
                             writer.close()
                         current, writer = archive, _ArchiveWriter(dest, archive, gzip_level)
-                    value = within(base, value) if source == "path" else value
+                    value = within(base, value.as_py()) if source == "path" else value.as_buffer()
                     rows.append((archive, member, *writer.add(member, value, source == "path")))
-                yield pd.DataFrame(rows, columns=schema.names)
+                yield pa.RecordBatch.from_pylist([dict(zip(PACKED.names, row, strict=True)) for row in rows], schema=PACKED)
             if writer:
                 writer.close()
                 writer = None
@@ -84,7 +87,7 @@ def pack_archives(
     sorted_rows = (
         named.select("archive", "member", source).repartition("archive").sortWithinPartitions("archive", "member")
     )
-    sorted_rows.mapInPandas(write, schema).write.mode("overwrite").parquet(f"{dest}/_manifest")
+    sorted_rows.mapInArrow(write, schema).write.mode("overwrite").parquet(f"{dest}/_manifest")
     return spark.read.schema(schema).parquet(f"{dest}/_manifest")
 
 
@@ -104,17 +107,20 @@ class _ArchiveWriter:
     def add(self, member: str, value, is_path: bool) -> tuple[int, str]:
         info = tarfile.TarInfo(member)
         if not is_path:
-            data = bytes(value)
-            info.size = len(data)
-            self.tar.addfile(info, io.BytesIO(data))
-            return len(data), hashlib.sha256(data).hexdigest()
+            info.size = len(value)
+            self._add(info, pa.BufferReader(value))
+            return info.size, hashlib.sha256(value).hexdigest()
         store, inner = resolve(value)
         info.size = store.get_file_info(inner).size
         with store.open_input_stream(inner, compression=None, buffer_size=COPY_BUFFER) as stream:
             reader = _Digesting(stream)
-            self.tar.addfile(info, reader)
+            self._add(info, reader)
         return info.size, reader.digest.hexdigest()
 
+    def _add(self, info: tarfile.TarInfo, source) -> None:
+        self.tar.addfile(info, source)
+        self.tar.members.clear()  # a tarfile remembers all its members
+
     def close(self) -> None:
         self.tar.close()
         self.packed.close()
@@ -165,7 +171,8 @@ def _members(path: str, dest: str | None) -> Iterator[tuple]:
     store, inner = resolve(path)
     name = posixpath.basename(inner)
     with store.open_input_stream(inner, compression=None) as raw, tarfile.open(fileobj=raw, mode="r|gz") as tar:
-        for entry in tar:
+        while entry := tar.next():
+            tar.members.clear()  # a tarfile remembers all its members
             if not entry.isfile():
                 continue
             accepted = accepted_member(entry.name)

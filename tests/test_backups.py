@@ -3,6 +3,7 @@
 import io
 import tarfile
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -168,6 +169,23 @@ def test_unpacking(spark, tmp_path):
     assert [(r.member, r.archive) for r in last.collect()] == [("d/x", "b.tar.gz")]
 
 
+def test_archives_forget_the_members_they_are_done_with(tmp_path, monkeypatch):
+    held, add, step = [], tarfile.TarFile.addfile, tarfile.TarFile.next
+
+    def seen(of):
+        return lambda tar, *given: (held.append(len(tar.members)), of(tar, *given))[1]
+
+    monkeypatch.setattr(tarfile.TarFile, "addfile", seen(add))
+    monkeypatch.setattr(tarfile.TarFile, "next", seen(step))
+    writer = archives._ArchiveWriter(f"file:{tmp_path}", "a.tar.gz", 0)
+    for i in range(200):
+        writer.add(f"m{i}", pa.py_buffer(b"x" * i), False)
+    writer.close()
+    read = [(member, length) for _, member, length, *_ in archives._members(f"file:{tmp_path}/a.tar.gz", None)]
+    assert read == [(f"m{i}", i) for i in range(200)]
+    assert len(held) > 400 and max(held) <= 1
+
+
 def test_packs_of_a_hot_group(spark, sf, tmp_path):
     data = tmp_path / "ks/t"
     (data / "nested").mkdir(parents=True)
