@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strongbox.llm.tables import Rows, arrow_schema, per_worker, texts, written
+from strongbox.llm.words import Known
 
 CAPACITY, END_ID = 1024, 2
 #: Pieces of one length are ranked in so many parts, as one length may hold a third of all pieces.
@@ -36,9 +37,14 @@ PARTS = 64
 #: White space other than a blank; blanks only ever start a chunk.
 ODD_SPACE = re.compile(r"[^\S ]")
 #: A point or comma behind anything but a letter or digit belongs to what is in front of it.
-JOINED_SIGNS = re.compile(r"[\W_][.,]")
+JOINED_SIGNS = re.compile(r"[.,](?<=[\W_][.,])")
 #: Stands for the ids of a chunk that doesn't tell how its text is cut.
 ODD = b"odd"
+#: A blank or none and Latin letters: byte-level tokenizers never cut there.
+WORD = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+#: The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, others from 256 on.
+PRINTED = {b for a, z in ((33, 126), (161, 172), (174, 255)) for b in range(a, z + 1)}
+BYTE_CHARS = {b: b for b in PRINTED} | {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in PRINTED)}
 
 
 class TextIds:
@@ -48,14 +54,20 @@ class TextIds:
     no white space beside them, and in front of points and commas behind letters and digits. Each
     distinct chunk is encoded once and remembered, up to a number of chunks; then those that were not
     met since the last time this happened are forgotten. Other texts are encoded whole.
+
+    New chunks that are one word go to the tokenizer's model at once, if its pre-tokenizer cuts as
+    byte-level ones do; others are encoded together, with line ends between them.
     """
 
     def __init__(self, path: str, most: int = 300_000, longest: int = 64):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        cuts = self.tokenizer.pre_tokenizer
+        self.by_model = self.tokenizer.normalizer is None and isinstance(cuts, ByteLevel) and cuts.use_regex and not cuts.add_prefix_space
         # Nothing between two cuts: white space beside white space.
         self.fixed = {"": ODD, "\n": self._encoded(["\n"])[0]}
         self.forget()
@@ -63,14 +75,32 @@ class TextIds:
 
     def forget(self) -> None:
         """Gives back the memory of what was remembered."""
-        self.memo: dict[str, bytes] = dict(self.fixed)
-        self.older: dict[str, bytes] = {}
+        self.known = Known(self.fixed)
         self.odd = False
 
     def _encoded(self, chunks: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of chunks that are one word."""
+        tokenize = self.tokenizer.model.tokenize
+        printed = "\n".join(words).encode().decode("latin-1").translate(BYTE_CHARS).split(chr(BYTE_CHARS[10]))
+        return [array("I", [t.id for t in tokenize(chars)]).tobytes() for chars in printed] if words else []
+
+    def _others(self, chunks: list[str]) -> list[bytes]:
+        """The ids of chunks without white space behind their first character."""
+        out, end = [], np.frombuffer(self.fixed["\n"], "<u4")
+        for a in range(0, len(chunks), 512):
+            part = chunks[a : a + 512]
+            raw = self._encoded(["\n".join(part)])[0]
+            ends = np.flatnonzero(np.frombuffer(raw, "<u4") == end[0]) * 4
+            if len(end) == 1 and len(ends) == len(part) - 1:
+                out += [raw[at:until] for at, until in zip([0, *(ends + 4).tolist()], [*ends.tolist(), len(raw)], strict=True)]
+            else:  # a line end is more than one token, or a token of other chunks as well
+                out += self._encoded(part)
+        return out
+
     def _cut(self, text: str) -> list[str] | None:
         if "\0" in text or any(s in text for s in self.special):
             return None
@@ -83,35 +113,40 @@ class TextIds:
             del chunks[-1]
         return chunks
 
-    def of(self, many: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers."""
-        if len(self.memo) > self.most:
-            self.memo, self.older = dict(self.fixed), self.memo
-        cut, seen = [self._cut(text) for text in many], set()
-        for chunks in cut:
-            seen.update(chunks or ())
-        new = seen.difference(self.memo)
-        again = {c: self.older[c] for c in new if c in self.older}
-        self.memo.update(again)
-        new.difference_update(again)
+    def _learn(self, new: list[str]) -> None:
+        """Encodes the chunks that are new."""
+        known = self.known
         if " " in new or ODD_SPACE.search("".join(new)):
             odd = {c for c in new if c == " " or ODD_SPACE.search(c)}
             self.odd = True
-            self.memo.update(dict.fromkeys(odd, ODD))
-            new -= odd
-        fresh = list(new)
-        for a in range(0, len(fresh), 4096):
-            self.memo.update(zip(fresh[a : a + 4096], self._encoded(fresh[a : a + 4096]), strict=True))
-        of = self.memo.__getitem__
-        found = [None if c is None else list(map(of, c)) for c in cut]
+            for c in odd:
+                known.values[known[c]] = ODD
+            new = [c for c in new if c not in odd]
+        words = [c for c in new if WORD.fullmatch(c)] if self.by_model else []
+        others = list(set(new).difference(words)) if len(words) < len(new) else []
+        for chunks, found in ((words, self._words(words)), (others, self._others(others))):
+            for chunk, ids in zip(chunks, found, strict=True):
+                known.values[known[chunk]] = ids
+
+    def of(self, many: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers."""
+        known = self.known
+        if len(known) > self.most:
+            known.turn()
+        cut = [self._cut(text) for text in many]
+        places = [None if c is None else list(map(known.__getitem__, c)) for c in cut]
+        new, known.new = known.new, []
+        self._learn(new)
+        value = known.values.__getitem__
         out = []
-        for text, chunks, ids in zip(many, cut, found, strict=True):
-            if chunks is None or (self.odd or "" in chunks) and ODD in ids:
+        for text, at in zip(many, places, strict=True):
+            ids = None if at is None else list(map(value, at))
+            if ids is None or (self.odd or 0 in at) and ODD in ids:
                 out.extend(self._encoded([text]))
             else:
                 out.append(b"".join(ids))
-        for chunk in [c for c in fresh if len(c) > self.longest]:
-            del self.memo[chunk]
+        for chunk in [c for c in new if len(c) > self.longest]:
+            known.values[known.pop(chunk)] = None
         return out
 
 

@@ -33,6 +33,32 @@ class Memo(dict):
         return value
 
 
+class Known(dict):
+    """The places of what was met; asking for a new key gives it a place. Values met before the
+    last ``turn`` are taken over when they are asked for again."""
+
+    def __init__(self, fixed: dict[str, bytes]):
+        super().__init__(zip(fixed, range(len(fixed)), strict=True))
+        self.fixed, self.values, self.new = fixed, list(fixed.values()), []
+        self.older: tuple[dict[str, int], list[bytes | None]] = {}, []
+
+    def turn(self) -> None:
+        self.older = dict(self), self.values
+        self.clear()
+        self.update(zip(self.fixed, range(len(self.fixed)), strict=True))
+        self.values = list(self.fixed.values())
+
+    def __missing__(self, key: str) -> int:
+        at = self[key] = len(self.values)
+        places, values = self.older
+        if (place := places.get(key)) is not None:
+            self.values.append(values[place])
+        else:
+            self.values.append(None)
+            self.new.append(key)
+        return at
+
+
 def word_hashes(seed: int = 0, most: int = 400_000) -> Memo:
     return Memo(lambda w: xxhash.xxh64_intdigest(w, seed), most)
 

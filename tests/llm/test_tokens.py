@@ -11,9 +11,10 @@ import sentencepiece
 from helpers import docs, rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from strongbox.llm.packing import TextIds, best_fit, cut_pieces, pack_documents
+from strongbox.llm.packing import WORD, TextIds, best_fit, cut_pieces, pack_documents
 from strongbox.llm.pieces import Encoder, encode_pieces
 from strongbox.llm.queries import QUERIES
+from strongbox.llm.words import Known
 from tokenizers import Tokenizer
 
 MODEL, BYTES = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
@@ -57,6 +58,29 @@ def test_odd_texts_nulls_and_repeated_rows(spark, libraries):
     assert got == sorted(want, key=str)
 
 
+def test_new_words_are_not_encoded_one_by_one(libraries):
+    letters = [chr(c) for c in range(0x250) if WORD.fullmatch(chr(c))]
+    text = " ".join(["".join(letters), *(f"new{a}word{b}" for a in letters[:40] for b in ("ly", "é", "s7", "!?"))])
+    ids, encoded, asked = TextIds(BYTES), [], []
+    by_library = ids._encoded
+    ids._encoded = lambda chunks: asked.extend(chunks) or by_library(chunks)
+    for _ in range(3):
+        encoded.append(ids.of([text, "Σ ǅ 日本 × a÷b", text[:1000]])[0])
+    assert len(libraries[1].pre_tokenizer.pre_tokenize_str("".join(letters))) == 1
+    assert [np.frombuffer(e, "<u4").tolist() for e in encoded] == [libraries[1].encode(text, add_special_tokens=False).ids] * 3
+    assert len(asked) <= 2
+
+
+def test_chunks_that_come_again_are_kept():
+    known = Known({"": b"-"})
+    assert [known[c] for c in ("a", "b", "a")] == [1, 2, 1] and known.new == ["a", "b"]
+    known.values[1:], known.new = [b"A", b"B"], []
+    known.turn()
+    assert known.values[known["b"]] == b"B" and known.new == [] and known.values[known["c"]] is None and known.new == ["c"]
+    known.turn()
+    assert known.values[known["a"]] is None
+
+
 def check_packing(pieces, texts, tokenizer, capacity=1024):
     of = defaultdict(list)
     for r in pieces:
