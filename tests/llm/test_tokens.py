@@ -47,6 +47,26 @@ def test_any_text_as_the_libraries_do(text):
     encoder.check()
 
 
+def test_agendas_of_many_chunks_are_worked_off_together(libraries):
+    encoder, alone = Encoder(MODEL), []
+    one = encoder.pieces.merged
+    encoder.pieces.merged = lambda chunk: alone.append(chunk) or one(chunk)
+    try:
+        words = ["the", "a", "Überraschung", "aaaaaa", "x" * 32, "ciónlaqué", "e" * 31 + "s", *(f"{a}{b}ing" for a in "abcdefgh" for b in ("tion", "quick", "zz", "é"))]
+        text = " ".join(words) + ". It, too\n\nand  so   on  "
+        for given in (text, text + " 日本語𐍈 x", "y" * 33, "\n.\n,"):
+            assert encoder.ids(given).tolist() == libraries[0].encode(given)
+        # By themselves go only long chunks and those with characters that are no piece.
+        assert all(len(c) > 32 or "𐍈" in c or c == "\n" for c in alone), alone
+        wrong = encoder.pieces.many_ids
+        encoder.pieces.many_ids = lambda chunks: [ids[:-4] if c.startswith("▁wrong") else ids for c, ids in zip(chunks, wrong(chunks), strict=True)]
+        with pytest.raises(ValueError, match="differ"):
+            encoder.ids("this is wrong ,though")
+    finally:
+        del encoder.pieces.merged
+        encoder.pieces.__dict__.pop("many_ids", None)
+
+
 def test_odd_texts_nulls_and_repeated_rows(spark, libraries):
     given = [(i, t) for i, t in enumerate(ODD)] + [(0, None), (0, None), (None, "a b")]
     frame = docs(spark, *[(i, t, "x", "y", 1, "clash") for i, t in given], more=", ids string")
