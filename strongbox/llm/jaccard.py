@@ -33,6 +33,8 @@ from strongbox.llm.words import MIX2, Memo, mixed, shingles, word_hashes, words_
 SLACK = 2
 #: Sets compared with each other at once.
 BLOCK = 1024
+#: So many pairs of them are looked at together.
+PAIRS = 1 << 15
 #: So many of its tiles a node carries along there.
 LEAST_TILES = 8
 #: Slots of a bitmap for each element of a set: with few, differences fall together and cancel.
@@ -313,6 +315,42 @@ def different(tiles: DataFrame) -> DataFrame:
     return members.groupBy("n", "x", "y").agg(F.min("tile").alias("tile")).select("tile")
 
 
+def compared(key: tuple, rows: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
+    """The pairs of a place (tile, two of its blocks) that :func:`across` gives out; ``rows`` hold block,
+    node, component, size, bitmap and smallest tiles."""
+    own, node, component, n = (np.array(x, np.int64) for x in list(zip(*rows, strict=True))[:4])
+    none, bits = np.iinfo(np.int64).max, None
+    # Strips of rows are compared with all that follow.
+    strip = max(1, PAIRS // len(rows))
+    for top in range(0, len(rows), strip):
+        i, rest = slice(top, top + strip), slice(top, None)
+        small, large = np.minimum(n[i, None], n[rest]), np.maximum(n[i, None], n[rest])
+        fits = (100 * small >= percent * large) & (component[i, None] != component[rest])
+        if key[1] != key[2]:
+            fits &= own[i, None] != own[rest]
+        x, y = np.nonzero(fits)
+        x, y = x[y > x] + top, y[y > x] + top
+        if not len(x):
+            continue
+        if bits is None:
+            maps = [np.frombuffer(r[4], "<u8") for r in rows]
+            words = min(map(len, maps))
+            bits = np.stack([folded(x, words) for x in maps])
+            coarse = folded(bits, min(words, COARSE))
+            least = np.array([r[5] + [none] * (LEAST_TILES - len(r[5])) for r in rows], np.int64)
+            earlier = least < key[0]
+        for level in (coarse, bits):
+            some = max(1, PAIRS * COARSE // level.shape[1])
+            apart = [np.bitwise_count(level[x[a : a + some]] ^ level[y[a : a + some]]).sum(1, dtype=np.int64) for a in range(0, len(x), some)]
+            apart = np.concatenate([np.empty(0, np.int64), *apart])
+            near = similar((n[x] + n[y] - apart) // 2, n[x], n[y], percent)
+            x, y = x[near], y[near]
+        shared = (least[x][:, :, None] == least[y][:, None, :]) & earlier[x][:, :, None]
+        new = ~shared.any((1, 2))
+        for a, b in zip(node[x[new]].tolist(), node[y[new]].tolist(), strict=True):
+            yield min(a, b), max(a, b)
+
+
 def across(tiles: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     """Pairs (a, b) of different components in a tile whose bitmaps allow the similarity.
 
@@ -332,40 +370,19 @@ def across(tiles: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK)
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Rows(arrow_schema(a=pa.int64(), b=pa.int64()))
 
-        def close(key: tuple, rows: list[tuple]) -> None:
-            own, node, component, n = (np.array(x, np.int64) for x in list(zip(*rows, strict=True))[:4])
-            maps = [np.frombuffer(r[4], "<u8") for r in rows]
-            words = min(map(len, maps))
-            bits = np.stack([folded(x, words) for x in maps])
-            coarse = folded(bits, min(words, COARSE))
-            none = np.iinfo(np.int64).max
-            least = np.array([r[5] + [none] * (LEAST_TILES - len(r[5])) for r in rows], np.int64)
-            earlier = least < key[0]
-            for at in range(len(rows)):
-                later = slice(at + 1, None)
-                small, large = np.minimum(n[later], n[at]), np.maximum(n[later], n[at])
-                fits = (100 * small >= percent * large) & (component[later] != component[at])
-                if key[1] != key[2]:
-                    fits &= own[later] != own[at]
-                found = np.flatnonzero(fits) + at + 1
-                for level in (coarse, bits):
-                    apart = np.bitwise_count(level[found] ^ level[at]).sum(1, dtype=np.int64)
-                    found = found[similar((n[found] + n[at] - apart) // 2, n[found], n[at], percent)]
-                shared = (least[found][:, :, None] == least[at][earlier[at]][None, None, :]) & earlier[found][:, :, None]
-                for b in node[found[~shared.any((1, 2))]]:
-                    out.add(int(min(b, node[at])), int(max(b, node[at])))
-
         key, rows = None, []
         for *now, own, node, component, n, bits, least in rows_of(batches, *columns):
             if now != key:
                 if len(rows) > 1:
-                    close(key, rows)
+                    for pair in compared(key, rows, percent):
+                        out.add(*pair)
                     if out.full():
                         yield from out.take()
                 key, rows = now, []
             rows.append((own, node, component, n, bits, least))
         if len(rows) > 1:
-            close(key, rows)
+            for pair in compared(key, rows, percent):
+                out.add(*pair)
         yield from out.take()
 
     ordered = dealt.repartition(partitions(tiles.sparkSession), "tile", "i", "j").sortWithinPartitions("tile", "i", "j")

@@ -5,11 +5,13 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 from helpers import docs, rows, words
 from strongbox.llm.components import components
-from strongbox.llm.jaccard import Bands, jaccard_join, one_of_each, signatures
+from strongbox.llm import jaccard
+from strongbox.llm.jaccard import Bands, bitmap, compared, jaccard_join, one_of_each, signatures
 from strongbox.llm.line_dedup import LINE_DEDUP_SQL, line_dedup, repeated_runs
 from strongbox.llm.queries import QUERIES
 from strongbox.llm.words import shingles, word_hashes, words_of
@@ -154,3 +156,29 @@ def test_join_of_odd_rows(spark):
 def test_components_of_a_long_chain(spark):
     links = spark.range(300).selectExpr("(id * 7919) % 301 as a", "((id + 1) * 7919) % 301 as b")
     assert {r["component"] for r in components(links).collect()} == {0} and components(links).count() == 300
+
+
+def test_a_tile_is_compared_in_strips(monkeypatch):
+    draw, base = np.random.default_rng(7), np.arange(1, 121, dtype=np.uint64) << np.uint64(40)
+    sets = [np.unique(np.append(draw.permutation(base)[: 120 - i % 30], draw.integers(1, 1 << 60, i % 13).astype(np.uint64))) for i in range(90)]
+    rows = [(i % 2, 1000 - i, i % 40, len(h), bitmap(h).tobytes(), sorted({3, 4 + i % 5, 9})) for i, h in enumerate(sets)]
+    counted, count = [], np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda x: counted.append(len(x)) or count(x))
+
+    def plain(key):
+        for i, (own, a, of_a, n, _, least) in enumerate(rows):
+            for j, (other, b, of_b, m, _, more) in enumerate(rows[:i]):
+                apart = (int.from_bytes(rows[i][4], "little") ^ int.from_bytes(rows[j][4], "little")).bit_count()
+                if of_a != of_b and (key[1] == key[2] or own != other) and 100 * min(n, m) >= 85 * max(n, m) and 100 * ((n + m - apart) // 2) >= 85 * (n + m - (n + m - apart) // 2):
+                    if not {t for t in least if t < key[0]} & set(more):
+                        yield min(a, b), max(a, b)
+
+    for key in ((3, 0, 0), (3, 0, 1), (9, 0, 0), (2, 0, 0)):
+        want = sorted(plain(key))
+        for pairs in (1 << 15, 500):
+            monkeypatch.setattr(jaccard, "PAIRS", pairs)
+            counted.clear()
+            assert sorted(compared(key, rows, 85)) == want
+            assert max(counted) <= max(pairs, 90)
+            assert pairs == 500 or len(counted) <= 4
+        assert want or key[0] == 9
