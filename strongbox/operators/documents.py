@@ -18,6 +18,8 @@ from strongbox.schemas import TABLE_METRICS
 BUCKETS = 90
 #: Tasks that write the records of nodes, so that a slow one doesn't hold up the rest.
 TASKS_PER_CORE = 8
+#: The lists of a node's record, which hold an entry for every node or keyspace of its cluster; the long ones first.
+LISTS = ["host_id_map", "live_nodes", "unreachable_nodes", "keyspaces"]
 PERCENTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 
 
@@ -128,16 +130,56 @@ def node_status(nodes: DataFrame, keyspaces: DataFrame, ages: DataFrame, as_of:
     known = present.join(ages.select("host_id", *backups), "host_id", "left")
     unknown = {b: F.coalesce(b, F.lit("(null)") if b.endswith("backup") else F.lit(-1).cast("bigint")) for b in backups}
     now = snapshot_name(F.lit(as_of).cast("timestamp")).alias("datetime_now")
+    place, last = _fields("cluster", "rack", "dc", "host_id"), _fields(now, *[c.alias(n) for n, c in unknown.items()])
     own = known.select(
-        "cluster", "host_id", _fields("cluster", "rack", "dc", "host_id").alias("_place"), _fields(*optional, "heap_usage", "heap_usage_perc").alias("_state"),
-        _fields(now, *[c.alias(n) for n, c in unknown.items()]).alias("_backups"),
+        "cluster", "host_id", F.concat(F.lit("{"), place).alias("_place"), _fields(*optional, "heap_usage", "heap_usage_perc").alias("_state"),
+        F.concat(last, F.lit("}")).alias("_backups"),
     )
     # The rows are few and small before they meet the lists (a row per cluster, which fits into one document)
     # and large after it: they are spread here, by a number that Spark doesn't lower for their size.
     context = nodes.sparkSession.sparkContext
     spread = own.repartition(max(TASKS_PER_CORE * context.defaultParallelism, 1), "host_id")
     whole = spread.join(F.broadcast(lists), "cluster")
-    return whole.select("host_id", F.concat(F.lit("{"), F.concat_ws(",", "_place", "_names", "_state", "_nodes", "_backups"), F.lit("}")).alias("status"))
+    return whole.select("host_id", F.concat_ws(",", "_place", "_names", "_state", "_nodes", "_backups").alias("status"))
+
+
+def read_node_status(documents: DataFrame, schema: str) -> DataFrame:
+    """Records of ``node_status``, read back: host_id, the fields of ``schema`` (DDL), which has all ``LISTS`` and gives
+    the number of their entries, own_address as the lists say it, and the number of all ``fields``. A document
+    that can't be parsed is an error.
+
+    Records of a cluster repeat its lists, so those of any one record are read first. Every document is compared
+    with them byte by byte, and what is equal is not parsed again; a list that is not is parsed where it stands.
+    A name with a list after it is found at no other place of a record: quotes within a text are escaped, and
+    what host_id_map holds are texts.
+    """
+    strict = {"mode": "FAILFAST"}
+    # Spark would parse a record in every task before it takes one, but for the repartition.
+    one = documents.limit(1).repartition(1).select(
+        F.from_json("status", ", ".join(f"{n} string" for n in LISTS), strict).alias("_text"), F.from_json("status", schema, strict).alias("_read")
+    )
+
+    def sought(name: str) -> Column:
+        """The member of that name, if its list has entries: it is then no part of another one. Else an empty text, which replaces nothing."""
+        text = F.col("_text")[name]
+        return F.when(F.substring(text, 1, 2).isin('{"', '["'), F.concat(F.lit(f'"{name}":'), text)).otherwise("")
+
+    known = one.select(F.col("_read.host_id_map").alias("_map"), *[c for n in LISTS for c in (sought(n).alias(f"_text_{n}"), F.size(F.col("_read")[n]).alias(f"_size_{n}"))])
+    # The address is looked up here, so that no row carries the map any further.
+    rest = documents.crossJoin(F.broadcast(known)).withColumns({"_rest": F.col("status"), "_address": F.col("_map")[F.col("host_id")]}).drop("_map")
+    for n in LISTS:
+        rest = rest.withColumn("_cut", F.replace("_rest", f"_text_{n}", F.lit(f'"{n}":null')))
+        rest = rest.withColumn(f"_same_{n}", F.octet_length("_cut") < F.octet_length("_rest")).withColumn("_rest", F.col("_cut"))
+    read = rest.withColumns({"_read": F.from_json("_rest", schema, strict), "_names": F.json_object_keys("_rest")})
+
+    def field(name: str) -> Column:
+        if name not in LISTS:
+            return F.col("_read")[name].alias(name)
+        return F.when(F.col(f"_same_{name}"), F.col(f"_size_{name}")).otherwise(F.size(F.col("_read")[name])).cast("bigint").alias(name)
+
+    address = F.when(F.col("_same_host_id_map"), F.col("_address")).otherwise(F.col("_read")["host_id_map"][F.col("host_id")])
+    names = one.schema["_read"].dataType.names
+    return read.select("host_id", *map(field, names), address.alias("own_address"), F.size("_names").cast("bigint").alias("fields"))
 
 
 def _fields(*columns: Column | str) -> Column:

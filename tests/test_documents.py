@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strongbox.operators import documents
+from strongbox.queries.documents import STATUS, node_status
 from strongbox.schemas import TABLE_METRICS
 from strongbox.streaming import counters
 
@@ -128,3 +129,38 @@ def test_no_shuffle_carries_the_lists_of_nodes(spark):
     assert (found["h1"]["live_nodes"], found["h2"]["unreachable_nodes"], found["h3"]["live_nodes"]) == (["h1"], ["h2"], ["h3"])
     assert (found["h1"]["keyspaces"], found["h3"]["keyspaces"], found["h2"]["rack"]) == (["k1", "k2"], None, None)
     assert (found["h1"]["last_sst_backup"], found["h2"]["last_sst_backup"], found["h3"]["last_cl_backup_age_mins"]) == ("7", "(null)", -1)
+
+
+def test_the_lists_of_nodes_are_parsed_once(spark, sf):
+    plan = node_status(spark, sf)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    whole = [i for i, line in enumerate(plan) if "from_json(" in line and "status#" in line]
+    assert whole and all("Limit 1" in "".join(plan[i + 1 : i + 4]) for i in whole)
+    assert not [line for line in plan if "json_object_keys(status#" in line]
+
+
+def test_status_records_are_read_as_they_stand(spark):
+    names = "cluster string, dc string, rack string, host_id string, live boolean, heap_used_bytes bigint, heap_max_bytes bigint"
+    hosts = ['h"1', "h\\2", "live_nodes", '"live_nodes":["h"]', "é{", ',"keyspaces":', "host_id_map"]
+    nodes = spark.createDataFrame([(c, "d,", f'r"{i}', h, i % 3 > 0, 1 << 20, i) for i, h in enumerate(hosts) for c in ("a", "b") if c == "a" or i % 2], names)
+    nodes = nodes.withColumn("host_id", F.when(F.col("cluster") == "b", F.concat("host_id", F.lit("\n"))).otherwise(F.col("host_id")))
+    spaces = spark.createDataFrame([("a", "k2"), ("a", "live_nodes")], "cluster string, keyspace string")
+    kinds = {f"last_{kind}_backup{part}": "string" if part == "" else "bigint" for kind in ("snap", "sst", "cl") for part in ("", "_filecount", "_age_mins")}
+    ages = spark.createDataFrame([], ", ".join(["host_id string", *map(" ".join, kinds.items())]))
+    made = [(r.host_id, r.status) for r in documents.node_status(nodes, spaces, ages, "2024-02-01 00:00:00").collect()]
+    given = json.loads(made[0][1])
+    for lists in ({"live_nodes": []}, {"host_id_map": {}, "keyspaces": []}, {"live_nodes": given["unreachable_nodes"], "unreachable_nodes": given["live_nodes"], "keyspaces": None}):
+        made += [(made[0][0], json.dumps(given | lists)), (made[0][0], json.dumps(given | lists, separators=(",", ":")))]
+    made += [("other", made[0][1]), (None, made[1][1]), ("none", None), ("bare", '{"keyspaces":["k2","live_nodes"]}')]
+    plain = ["cluster", "rack", "dc", "heap_usage", "heap_usage_perc", "last_sst_backup_filecount"]
+    expected = []
+    for host, status in made:
+        v = json.loads(status or "{}")
+        sizes = [None if v.get(n) is None else len(v[n]) for n in documents.LISTS]
+        expected.append((host, *[v.get(n) for n in plain], *sizes, (v.get("host_id_map") or {}).get(host), len(v) if status else None))
+    for first in (*range(0, len(made), 3), len(made) - 1):  # whichever record it learns the lists from
+        shown = made[first:] + made[:first]
+        frame = spark.createDataFrame(shown, "host_id string, status string").coalesce(1)
+        got = documents.read_node_status(frame, STATUS).select("host_id", *plain, *documents.LISTS, "own_address", "fields").collect()
+        assert sorted(map(tuple, got), key=repr) == sorted(expected, key=repr)
+    with pytest.raises(Exception, match="MALFORMED"):
+        documents.read_node_status(spark.createDataFrame([made[0], ("h", '{"cluster": ')], "host_id string, status string").coalesce(1), STATUS).collect()
